@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mix
+from . import media, mix, tokenfile
 
-QUERIES = {"op5_source_mix": mix.op5_source_mix}
+QUERIES = {
+    "op5_source_mix": mix.op5_source_mix,
+    "op7_png_media": media.op7_png_media,
+    "op9_token_file": tokenfile.op9_token_file,
+}
 ORACLES = {"op5_source_mix": mix.ORACLE}
