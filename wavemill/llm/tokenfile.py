@@ -10,12 +10,14 @@ reads the table and that document's bytes alone.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -34,58 +36,80 @@ _SPACE = "\t\n\v\f\r "
 
 
 class WordEncoder:
-    """Ids of a text as bytes. Only for tokenizers whose normalizer and pre-tokenizer treat ASCII white space as a gap between independent pieces, as `gap_free` tests: each distinct word is then encoded once, by the library."""
+    """Ids of a text as bytes, by the library's model.
+
+    For a tokenizer that `gap_free` accepts, white space only separates, so a text's ids are those of its words end to
+    end. A word's ids are kept; a new word of plain characters is cut by the tokenizer's own splitting pattern, and each
+    piece goes to the library's model once. Any other word goes through the library's whole encode.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.by_word = self.gap_free(path)
-
-    @staticmethod
-    def gap_free(path: str) -> bool:
-        """True for a splitting rule that removes white space, before anything that could look across it, and no added token with white space or stripping."""
+        self.pieces: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
-        split = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in str(steps[0].get("pattern"))
-        norms = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {"type": "Lowercase"}]
-        plain = all(n.get("type") in ("NFC", "Lowercase") or n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in norms)
-        added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(_SPACE)) for t in spec.get("added_tokens", []))
+        self.by_word = self.gap_free(spec)
+        if self.by_word:
+            self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+
+    @staticmethod
+    def gap_free(spec: dict) -> bool:
+        """True for lower-cased, byte-level text cut by a pattern that no white space matches, and no added token with white space or stripping."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split = [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in steps[0].get("pattern", {}).get("Regex", "") and not (steps[1].get("add_prefix_space") or steps[1].get("use_regex"))
+        norms = (spec.get("normalizer") or {}).get("normalizers") or []
+        plain = [n.get("type") for n in norms] == ["NFC", "Replace", "Lowercase"] and norms[1].get("pattern") == {"Regex": r"\s+"} and norms[1].get("content") == " "
+        added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(_SPACE)) and "<" in t["content"] for t in spec.get("added_tokens", []))
         return bool(split and plain and added and not spec.get("truncation") and not spec.get("post_processor"))
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            got = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            raw = np.asarray(got.ids, dtype="<u4").tobytes()
-            ends = np.searchsorted(np.asarray(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
-            ends = ends.tolist()
-            self.known.update(zip(part, (raw[i:j] for i, j in zip(ends, ends[1:], strict=False)), strict=True))
+    def piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+            got = b"".join(t.id.to_bytes(4, "little") for t in self.tok.model.tokenize(shown))
+            if len(self.pieces) < CACHE_WORDS:
+                self.pieces[piece] = got
+        return got
+
+    def word(self, word: str) -> bytes:
+        if _PLAIN(word):
+            got = b"".join(map(self.piece, self.cut(word.lower())))
+        else:
+            got = np.asarray(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self.known) < CACHE_WORDS:
+            self.known[word] = got
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        out, at = [], 0
-        while at < len(texts):  # a group of texts whose words are known at once
-            group, size = [], 0
-            while at < len(texts) and (not group or size < 4_000_000):
-                group.append(texts[at].translate(_GAPS).split(" "))
-                size += len(texts[at])
-                at += 1
-            fresh = set().union(*group)
-            missing = [w for w in fresh if w not in self.known]
-            if missing:
-                full = len(self.known) + len(missing) > CACHE_WORDS
-                self.learn(list(fresh) if full else missing)
-            out += [b"".join(map(self.known.__getitem__, words)) for words in group]
+        out, get = [], self.known.get
+        for text in texts:
+            words = _GAP.split(text) if _ODD(text) else text.split()
+            ids = list(map(get, words))
+            if None in ids:
+                ids = [self.word(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
         return out
 
 
-_GAPS = {ord(c): " " for c in _SPACE}
+#: Characters that Python's split() takes for white space but the pattern's ASCII gaps don't have; and the gaps.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_GAP = re.compile("[\t-\r ]+")
+#: Words that composing, lower-casing and added tokens treat one character at a time: printable ASCII but <, and Latin-1 letters.
+_PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from code point 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_SHOWN = _byte_letters()
 _encoders: dict[str, WordEncoder] = {}
 
 
