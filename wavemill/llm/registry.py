@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, media, mix, quality, tokenfile
+from . import jaccard, language, media, mix, quality, tokenfile
 
 QUERIES = {
     "op4_language": language.op4_language,
     "op5_source_mix": mix.op5_source_mix,
     "op7_png_media": media.op7_png_media,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_token_file": tokenfile.op9_token_file,
     "op10_quality": quality.op10_quality,
 }
