@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, media, mix, quality, tokenfile
+from . import jaccard, language, media, mix, neighbours, quality, tokenfile
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
     "op4_language": language.op4_language,
     "op5_source_mix": mix.op5_source_mix,
     "op7_png_media": media.op7_png_media,
