@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, media, mix, neighbours, quality, tokenfile
+from . import jaccard, language, lines, media, mix, neighbours, quality, tokenfile
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
+    "op2_line_dedup": lines.op2_line_dedup,
     "op4_language": language.op4_language,
     "op5_source_mix": mix.op5_source_mix,
     "op7_png_media": media.op7_png_media,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_token_file": tokenfile.op9_token_file,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op5_source_mix": mix.ORACLE}
+ORACLES = {"op2_line_dedup": lines.ORACLE, "op5_source_mix": mix.ORACLE}
