@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, lines, media, mix, neighbours, quality, tokenfile
+from . import jaccard, language, licences, lines, media, mix, neighbours, pieces, quality, tokenfile
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_licences": licences.op3_licences,
     "op4_language": language.op4_language,
     "op5_source_mix": mix.op5_source_mix,
+    "op6_pieces": pieces.op6_pieces,
     "op7_png_media": media.op7_png_media,
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_token_file": tokenfile.op9_token_file,
