@@ -89,7 +89,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     live = materialize(live.groupBy("doc").agg(F.collect_list(F.struct("line", "open")).alias("open")), "open-lines")
     bounded_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.split("text", "\n").alias("_all"))
-    near = join_bounded(texts, live, ["doc"], live.count(), 50_000)
+    near = join_bounded(texts, live, ["doc"], live.count())
     near = near.select("doc", "_all", F.explode("open").alias("e"))
     near = near.select("doc", "e.line", F.trim(F.element_at("_all", F.col("e.line") + 1)).alias("s"), F.col("e.open").alias("_open"))
     near = materialize(near.withColumn("keys", F.filter(_keys(F.col("s")), lambda k: F.array_contains("_open", k["key"]))).drop("_open"), "near-lines")
@@ -121,7 +121,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     gone = materialize(repeated(docs).groupBy("doc").agg(F.collect_set("line").alias("_gone")), "dropped")
     rows = docs.drop("n_lines", "n_dropped")
-    rows = rows.join(F.broadcast(gone) if gone.count() <= 50_000 else gone, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    rows = rows.join(gone, F.col("doc_id") == F.col("doc"), "left").drop("doc")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
