@@ -20,14 +20,14 @@ SPACE = "▁"
 #: Segmentations of a text that are returned.
 BEST = 2
 #: Words that a worker keeps.
-CACHE = 500_000
+CACHE = 800_000
 #: Score of a character without a piece, below the least ordinary piece; it is written as its bytes.
 UNKNOWN_GAP = 10.0
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class Pieces:
-    """Lattice search for one model. Scores are the model's; segmentations maximise their sum, ties go to the shorter first difference in order of expansion."""
+    """Lattice search for one model. Scores are the model's; segmentations maximise their sum; of equal ones the first in order of expansion comes first."""
 
     def __init__(self, path: str | None = None, scores: dict[str, float] | None = None):
         """From a model file, or from pieces and scores (ids in order), as tests do."""
@@ -46,52 +46,73 @@ class Pieces:
             names, self.score = list(scores), dict(scores)
             self.id, self.unk = {p: i for i, p in enumerate(names)}, len(names)
         self.name = names
-        self.longest = max(map(len, self.score), default=1)
         # Long runs of spaces have a sentinel score in some models; as a sum it would swamp the rest, so it counts as the least ordinary one.
         ordinary = [s for s in self.score.values() if s > -1e8]
         low = min(ordinary, default=0.0)
         self.score = {p: max(s, low) for p, s in self.score.items()}
         self.unknown = low - UNKNOWN_GAP
+        self.tree: dict = {}
+        for piece, value in self.score.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[None] = value
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.known: dict[str, tuple] = {}
+        self.most = 0
 
     def arcs(self, chunk: str) -> list[list[tuple[int, float]]]:
-        """Arcs that end at each place: (start, score). A character that no piece of one character covers has an unknown arc."""
-        get, n = self.score.get, len(chunk)
+        """Arcs that end at each place: (start, score), found by walking the tree of pieces. A character that no piece of one character covers has an unknown arc."""
+        n = len(chunk)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                s = get(chunk[i:j])
-                if s is not None:
-                    ends[j].append((i, s))
-            if chunk[i] not in self.score:
-                ends[i + 1].append((i, self.unknown))
+            node, j = self.tree.get(chunk[i]), i + 1
+            if node is None or None not in node:
+                ends[j].append((i, self.unknown))
+            while node is not None:
+                if None in node:
+                    ends[j].append((i, node[None]))
+                if j == n:
+                    break
+                node = node.get(chunk[j])
+                j += 1
         return ends
 
     def nbest(self, chunk: str, most: int) -> list[tuple[float, list[tuple[int, int]]]]:
-        """Up to `most` segmentations, best first, as (score, [(start, end)]): the forward Viterbi score of a place is the exact score of what a backward search still has to cover, so the search only opens nodes of answers."""
+        """Up to `most` segmentations, best first, as (score, [(start, end)]).
+
+        The forward Viterbi score of a place is the exact score of what a backward search still has to cover. So a node
+        of the queue stands for a whole path of known score, and different nodes for different paths: one that `most`
+        others beat is never opened, and is not even queued.
+        """
         ends, n = self.arcs(chunk), len(chunk)
-        ahead = [0.0] + [-np.inf] * n
+        ahead = [0.0] * (n + 1)
         for j in range(1, n + 1):
-            ahead[j] = max(ahead[i] + s for i, s in ends[j])
-        order = itertools.count()
-        queue: list[tuple] = [(-ahead[n], next(order), n, 0.0, None)]
+            ahead[j] = max([ahead[i] + s for i, s in ends[j]])
+        order = 0
+        queue: list[tuple] = [(-ahead[n], 0, n, 0.0, None)]
+        alive = [ahead[n]]
         out: list[tuple[float, list[tuple[int, int]]]] = []
-        opened = [0] * (n + 1)
         while queue and len(out) < most:
             _, _, at, behind, path = heapq.heappop(queue)
-            if at == 0:
-                cuts, p = [], path
-                while p is not None:
-                    cuts.append(p[0])
-                    p = p[1]
-                out.append((behind, cuts))
-                continue
-            opened[at] += 1
-            if opened[at] > most:  # no place is in more than `most` of the best paths behind it
-                continue
-            for i, s in ends[at]:
-                heapq.heappush(queue, (-(behind + s + ahead[i]), next(order), i, behind + s, ((i, at), path)))
+            while at:
+                best = None
+                for i, s in ends[at]:
+                    total = behind + s + ahead[i]
+                    if best is None or total > best[0]:
+                        best, other = (total, i, s), best
+                    else:
+                        other = (total, i, s)
+                    if other is not None and (len(alive) < most or other[0] > alive[-1]):
+                        alive = sorted([*alive, other[0]], reverse=True)[:most]
+                        order += 1
+                        heapq.heappush(queue, (-other[0], order, other[1], behind + other[2], ((other[1], at), path)))
+                behind, path, at = behind + best[2], ((best[1], at), path), best[1]
+            cuts, p = [], path
+            while p is not None:
+                cuts.append(p[0])
+                p = p[1]
+            out.append((behind, cuts))
         return out
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
@@ -99,43 +120,50 @@ class Pieces:
             return (self.id[piece],)
         return tuple(self.byte[b] for b in piece.encode("utf-8")) if self.byte else (self.unk,)
 
-    def chunk(self, chunk: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
-        got = self.known.get(chunk)
-        if got is None:
-            got = [(s, tuple(i for a, b in cuts for i in self.ids_of(chunk[a:b]))) for s, cuts in self.nbest(chunk, most)]
-            if len(self.known) < CACHE:
-                self.known[chunk] = got
+    def chunk(self, chunk: str, most: int) -> tuple[float, tuple[int, ...], float, list]:
+        """(best score, its ids, loss of the next, all) of one word."""
+        all_ = [(s, tuple(i for a, b in cuts for i in self.ids_of(chunk[a:b]))) for s, cuts in self.nbest(chunk, most)]
+        got = (*all_[0], all_[0][0] - all_[1][0] if len(all_) > 1 else np.inf, all_)
+        if len(self.known) < CACHE:
+            self.known[chunk] = got
         return got
 
     def encode(self, text: str, most: int = BEST) -> list[tuple[float, list[int]]]:
         """Up to `most` segmentations of a text, best first. No piece of the model crosses the start of a word, so a text's lattice is its words' end to end, and its best sums are found over the words' own lists. Empty text has one empty segmentation."""
         if not text:
             return [(0.0, [])]
+        if most != self.most:
+            self.most = most
+            self.known.clear()
         whole = SPACE + text.replace(" ", SPACE)
-        lists = [self.chunk(c, most) for c in (_CHUNK.findall(whole) if self.by_word else [whole])]
-        base = sum(options[0][0] for options in lists)
-        if most > 1:
-            # only the words with the least loss can differ in the best `most`
-            loss = heapq.nsmallest(most - 1, ((options[0][0] - options[1][0], k) for k, options in enumerate(lists) if len(options) > 1))
-            places = sorted(k for _, k in loss)
-        else:
-            places = []
-        combos, queue, seen = [], [(0.0, (0,) * len(places))], set()
-        while queue and len(combos) < most:
+        chunks = _CHUNK.findall(whole) if self.by_word else [whole]
+        words = list(map(self.known.get, chunks))
+        if None in words:
+            words = [self.chunk(c, most) if w is None else w for c, w in zip(chunks, words, strict=True)]
+        base = sum([w[0] for w in words])
+        out = [(base, list(itertools.chain.from_iterable([w[1] for w in words])))]
+        if most == 1:
+            return out
+        # only the words with the least loss can differ in the best `most`
+        loss = [w[2] for w in words]
+        places = [loss.index(min(loss))] if most == 2 else [k for _, k in heapq.nsmallest(most - 1, zip(loss, range(len(loss)), strict=True))]
+        places = sorted(k for k in places if loss[k] < np.inf)
+        queue, seen = [(0.0, (0,) * len(places))], set()
+        while queue and len(out) < most:
             lost, pick = heapq.heappop(queue)
             if pick in seen:
                 continue
             seen.add(pick)
-            combos.append((lost, pick))
+            if any(pick):
+                ids = [w[1] for w in words]
+                for k, x in zip(places, pick, strict=True):
+                    ids[k] = words[k][3][x][1]
+                out.append((base - lost, list(itertools.chain.from_iterable(ids))))
             for x, k in enumerate(places):
-                options = lists[k]
+                options = words[k][3]
                 if pick[x] + 1 < len(options):
                     step = options[pick[x]][0] - options[pick[x] + 1][0]
                     heapq.heappush(queue, (lost + step, pick[:x] + (pick[x] + 1,) + pick[x + 1 :]))
-        out = []
-        for lost, pick in combos:
-            own = dict(zip(places, pick, strict=True))
-            out.append((base - lost, [i for k, options in enumerate(lists) for i in options[own.get(k, 0)][1]]))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
