@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +45,11 @@ def bit_length(v: Column) -> Column:
 
 
 def field_multiply(a: Column, b: Column) -> Column:
-    """Product in the field of 2**16 elements, by shifts and reductions."""
+    """Product in the field of 2**16 elements, by shifts and reductions from the highest bit of b down."""
 
-    def add(state: Column, bit: int) -> Column:
+    def add(state: Column, bit: Column) -> Column:
         doubled = F.shiftleft(state, 1)
-        doubled = F.when(doubled.bitwiseAND(F.lit(1 << 16)) != 0, doubled.bitwiseXOR(F.lit(FIELD))).otherwise(doubled)
-        return doubled.bitwiseXOR(F.when(F.shiftright(b, bit).bitwiseAND(F.lit(1)) == 1, a).otherwise(F.lit(0)))
+        reduced = doubled.bitwiseXOR(F.call_function("shiftright", doubled, F.lit(16)) * FIELD)
+        return reduced.bitwiseXOR(F.call_function("shiftright", b, bit).bitwiseAND(F.lit(1)) * a)
 
-    return reduce(lambda s, bit: add(s, bit), range(15, -1, -1), F.lit(0).cast("long"))
+    return F.aggregate(F.sequence(F.lit(15), F.lit(0), F.lit(-1)), F.lit(0).cast("long"), add)
