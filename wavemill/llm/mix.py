@@ -113,18 +113,18 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
 
 def apply(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = SEED) -> DataFrame:
     """The mixed corpus, with the columns of documents: a row for each full pass over a document, and one cut to its first `part` words if the last pass ends inside it (one document a shard at most). n_chars follows the text; rows taken 0 times go, as do texts without words."""
-    cols = docs.columns
-    own = plan(docs, weights, most, seed, keep=tuple(cols), store=False)
+    own = plan(docs.select("doc_id", "source", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), weights, most, seed, keep=("_row",), store=False)
     copies = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda k: F.when(k < F.col("whole"), F.col("size")).otherwise(F.col("part")))
     cut = own.withColumn("_n", F.explode(F.filter(copies, lambda x: x > 0)))
-    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    whole = F.col("_row.text")
+    pieces = F.split(whole, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.when(whole.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     short = F.array_join(F.slice(pieces, F.lit(1), F.col("_n").cast("int") + lead), "")
-    text = F.when(F.col("_n") < F.col("size"), short).otherwise(F.col("text"))
-    out = cut.withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_n") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    part = F.col("_n") < F.col("size")
+    made = {c: F.col("_row").getField(c) for c in docs.columns} | {"text": F.when(part, short).otherwise(whole)}
+    if "n_chars" in made:
+        made["n_chars"] = F.when(part, F.length(short)).otherwise(made["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(c.alias(n) for n, c in made.items()))
 
 
 def op5_source_mix(spark, sf_dir):
