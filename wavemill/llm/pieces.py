@@ -19,8 +19,8 @@ from .common import bounded_batches, table
 SPACE = "▁"
 #: Segmentations of a text that are returned.
 BEST = 2
-#: Words that a worker keeps.
-CACHE = 800_000
+#: Words that a worker keeps, and slots of the marks that a word was met before: only words met twice are kept.
+CACHE, MARKS = 250_000, 1 << 22
 #: Score of a character without a piece, below the least ordinary piece; it is written as its bytes.
 UNKNOWN_GAP = 10.0
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -59,6 +59,7 @@ class Pieces:
             node[None] = value
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.known: dict[str, tuple] = {}
+        self.met = bytearray(MARKS)
         self.most = 0
 
     def arcs(self, chunk: str) -> list[list[tuple[int, float]]]:
@@ -124,7 +125,10 @@ class Pieces:
         """(best score, its ids, loss of the next, all) of one word."""
         all_ = [(s, tuple(i for a, b in cuts for i in self.ids_of(chunk[a:b]))) for s, cuts in self.nbest(chunk, most)]
         got = (*all_[0], all_[0][0] - all_[1][0] if len(all_) > 1 else np.inf, all_)
-        if len(self.known) < CACHE:
+        slot = hash(chunk) & (MARKS - 1)
+        if not self.met[slot]:
+            self.met[slot] = 1
+        elif len(self.known) < CACHE:
             self.known[chunk] = got
         return got
 
