@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import re
@@ -210,6 +211,7 @@ def encode(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
         own = model(path)
         for b in batches:
             got = [own.encode(t or "", most) for t in b.column(1).to_pylist()]
+            gc.freeze()  # kept words have no cycles: the collector needn't walk them again
             second = [g[1] if len(g) > 1 else (None, None) for g in got]
             kinds = (pa.list_(pa.int32()), pa.float64()) * 2
             cols = ([g[0][1] for g in got], [g[0][0] for g in got], [s[1] for s in second], [s[0] for s in second])
@@ -228,6 +230,7 @@ def digest(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
         own = model(path)
         for b in batches:
             out = []
+            gc.freeze()  # kept words have no cycles: the collector needn't walk them again
             for t in b.column(1).to_pylist():
                 got = own.encode(t or "", most)
                 ids, back = got[0][1], own.decode(got[0][1])
