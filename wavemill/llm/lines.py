@@ -85,7 +85,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     one = materialize(one.select("h", "g", "at.doc", "at.line", "ks"), "lines")
     keyed = one.select("doc", "line", F.xxhash64("doc", "line").alias("z"), F.explode("ks").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("z").alias("a"), F.max("z").alias("b")).where("a <> b").select("key")
-    live = keyed.join(shared, "key", "left_semi").groupBy("doc", "line").agg(F.collect_list("key").alias("open"))
+    live = keyed.join(shared.hint("merge"), "key", "left_semi").groupBy("doc", "line").agg(F.collect_list("key").alias("open"))
     live = materialize(live.groupBy("doc").agg(F.collect_list(F.struct("line", "open")).alias("open")), "open-lines")
     bounded_batches(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.split("text", "\n").alias("_all"))
@@ -97,9 +97,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     me = F.struct("doc", "line")
     place = spread.where("role = 0")
     first = place.groupBy("v").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first <> last").select("v", "first")
-    replaced = place.join(first, "v").select(me.alias("x"), F.col("first").alias("y"))
+    replaced = place.join(first.hint("merge"), "v").select(me.alias("x"), F.col("first").alias("y"))
     whole = spread.where("role = 2").select("v", me.alias("y"))
-    shorter = spread.where("role = 1").select("v", me.alias("x")).join(whole, "v").select("x", "y")
+    shorter = spread.where("role = 1").select("v", me.alias("x")).join(whole.hint("merge"), "v").select("x", "y")
     pairs = replaced.union(shorter).where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     text = near.select(F.struct("doc", "line").alias("at"), "s")
     pairs = pairs.join(text.select(F.col("at").alias("x"), F.col("s").alias("sx")), "x").join(text.select(F.col("at").alias("y"), F.col("s").alias("sy")), "y")
