@@ -9,6 +9,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,32 +53,25 @@ class Pieces:
         low = min(ordinary, default=0.0)
         self.score = {p: max(s, low) for p, s in self.score.items()}
         self.unknown = low - UNKNOWN_GAP
-        self.tree: dict = {}
+        self.find = ahocorasick.Automaton()
         for piece, value in self.score.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[None] = value
+            self.find.add_word(piece, (len(piece) - 1, value))
+        self.find.make_automaton()
+        self.single = {p for p in self.score if len(p) == 1}
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.known: dict[str, tuple] = {}
         self.met = bytearray(MARKS)
         self.most = 0
 
     def arcs(self, chunk: str) -> list[list[tuple[int, float]]]:
-        """Arcs that end at each place: (start, score), found by walking the tree of pieces. A character that no piece of one character covers has an unknown arc."""
-        n = len(chunk)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            node, j = self.tree.get(chunk[i]), i + 1
-            if node is None or None not in node:
-                ends[j].append((i, self.unknown))
-            while node is not None:
-                if None in node:
-                    ends[j].append((i, node[None]))
-                if j == n:
-                    break
-                node = node.get(chunk[j])
-                j += 1
+        """Arcs that end at each place: (start, score) by ascending start, found in one pass of the automaton of pieces. A character that no piece of one character covers has an unknown arc."""
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(len(chunk) + 1)]
+        for last, (more, s) in self.find.iter(chunk):
+            ends[last + 1].append((last - more, s))
+        if not self.single.issuperset(chunk):
+            for i, c in enumerate(chunk):
+                if c not in self.single:
+                    ends[i + 1].append((i, self.unknown))
         return ends
 
     def nbest(self, chunk: str, most: int) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -90,7 +84,12 @@ class Pieces:
         ends, n = self.arcs(chunk), len(chunk)
         ahead = [0.0] * (n + 1)
         for j in range(1, n + 1):
-            ahead[j] = max([ahead[i] + s for i, s in ends[j]])
+            best = -np.inf
+            for i, s in ends[j]:
+                total = ahead[i] + s
+                if total > best:
+                    best = total
+            ahead[j] = best
         order = 0
         queue: list[tuple] = [(-ahead[n], 0, n, 0.0, None)]
         alive = [ahead[n]]
@@ -124,7 +123,10 @@ class Pieces:
 
     def chunk(self, chunk: str, most: int) -> tuple[float, tuple[int, ...], float, list]:
         """(best score, its ids, loss of the next, all) of one word."""
-        all_ = [(s, tuple(i for a, b in cuts for i in self.ids_of(chunk[a:b]))) for s, cuts in self.nbest(chunk, most)]
+        all_ = []
+        for s, cuts in self.nbest(chunk, most):
+            ids = [self.id.get(chunk[a:b]) for a, b in cuts]
+            all_.append((s, tuple(itertools.chain.from_iterable([self.ids_of(chunk[a:b]) for a, b in cuts]) if None in ids else ids)))
         got = (*all_[0], all_[0][0] - all_[1][0] if len(all_) > 1 else np.inf, all_)
         slot = hash(chunk) & (MARKS - 1)
         if not self.met[slot]:
