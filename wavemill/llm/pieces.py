@@ -61,7 +61,6 @@ class Pieces:
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.known: dict[str, tuple] = {}
         self.met = bytearray(MARKS)
-        self.most = 0
 
     def arcs(self, chunk: str) -> list[list[tuple[int, float]]]:
         """Arcs that end at each place: (start, score) by ascending start, found in one pass of the automaton of pieces. A character that no piece of one character covers has an unknown arc."""
@@ -99,15 +98,15 @@ class Pieces:
             while at:
                 best = None
                 for i, s in ends[at]:
-                    total = behind + s + ahead[i]
-                    if best is None or total > best[0]:
-                        best, other = (total, i, s), best
+                    reach = s + ahead[i]
+                    if best is None or reach > best[0]:
+                        best, other = (reach, i, s), best
                     else:
-                        other = (total, i, s)
-                    if other is not None and (len(alive) < most or other[0] > alive[-1]):
-                        alive = sorted([*alive, other[0]], reverse=True)[:most]
+                        other = (reach, i, s)
+                    if other is not None and (len(alive) < most or behind + other[0] > alive[-1]):
+                        alive = sorted([*alive, behind + other[0]], reverse=True)[:most]
                         order += 1
-                        heapq.heappush(queue, (-other[0], order, other[1], behind + other[2], ((other[1], at), path)))
+                        heapq.heappush(queue, (-behind - other[0], order, other[1], behind + other[2], ((other[1], at), path)))
                 behind, path, at = behind + best[2], ((best[1], at), path), best[1]
             cuts, p = [], path
             while p is not None:
@@ -121,13 +120,40 @@ class Pieces:
             return (self.id[piece],)
         return tuple(self.byte[b] for b in piece.encode("utf-8")) if self.byte else (self.unk,)
 
-    def chunk(self, chunk: str, most: int) -> tuple[float, tuple[int, ...], float, list]:
-        """(best score, its ids, loss of the next, all) of one word."""
-        all_ = []
-        for s, cuts in self.nbest(chunk, most):
-            ids = [self.id.get(chunk[a:b]) for a, b in cuts]
-            all_.append((s, tuple(itertools.chain.from_iterable([self.ids_of(chunk[a:b]) for a, b in cuts]) if None in ids else ids)))
-        got = (*all_[0], all_[0][0] - all_[1][0] if len(all_) > 1 else np.inf, all_)
+    def best(self, chunk: str) -> tuple[float, list[tuple[int, int]], float]:
+        """(score, cuts, loss of the next) of the best segmentation: the forward scores alone, with the gap to the second arc at each place. The next segmentation leaves the best one at the place with the least gap."""
+        n = len(chunk)
+        if self.single.issuperset(chunk):
+            arcs = self.find.iter(chunk)
+        else:
+            arcs = ((j - 1, (j - 1 - i, s)) for j, end in enumerate(self.arcs(chunk)) for i, s in end)
+        ahead, start, gap = [0.0] + [-np.inf] * n, [0] * (n + 1), [np.inf] * (n + 1)
+        for last, (more, s) in arcs:
+            i = last - more
+            last += 1
+            s += ahead[i]
+            lost = ahead[last] - s
+            if lost < 0:
+                ahead[last], start[last], gap[last] = s, i, -lost
+            elif lost < gap[last]:
+                gap[last] = lost
+        cuts, loss, at = [], np.inf, n
+        while at:
+            if gap[at] < loss:
+                loss = gap[at]
+            cuts.append((start[at], at))
+            at = start[at]
+        cuts.reverse()
+        return ahead[n], cuts, loss
+
+    def ids(self, chunk: str, cuts: list[tuple[int, int]]) -> tuple[int, ...]:
+        got = [self.id.get(chunk[a:b]) for a, b in cuts]
+        return tuple(itertools.chain.from_iterable([self.ids_of(chunk[a:b]) for a, b in cuts]) if None in got else got)
+
+    def chunk(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
+        """(best score, its ids, loss of the next) of one word. Words met twice are kept."""
+        score, cuts, loss = self.best(chunk)
+        got = (score, self.ids(chunk, cuts), loss)
         slot = hash(chunk) & (MARKS - 1)
         if not self.met[slot]:
             self.met[slot] = 1
@@ -136,17 +162,14 @@ class Pieces:
         return got
 
     def encode(self, text: str, most: int = BEST) -> list[tuple[float, list[int]]]:
-        """Up to `most` segmentations of a text, best first. No piece of the model crosses the start of a word, so a text's lattice is its words' end to end, and its best sums are found over the words' own lists. Empty text has one empty segmentation."""
+        """Up to `most` segmentations of a text, best first. No piece of the model crosses the start of a word, so a text's lattice is its words' end to end, and its best sums are found over the words' own lists. Only the words with the least losses are searched for more than their best. Empty text has one empty segmentation."""
         if not text:
             return [(0.0, [])]
-        if most != self.most:
-            self.most = most
-            self.known.clear()
         whole = SPACE + text.replace(" ", SPACE)
         chunks = _CHUNK.findall(whole) if self.by_word else [whole]
         words = list(map(self.known.get, chunks))
         if None in words:
-            words = [self.chunk(c, most) if w is None else w for c, w in zip(chunks, words, strict=True)]
+            words = [self.chunk(c) if w is None else w for c, w in zip(chunks, words, strict=True)]
         base = sum([w[0] for w in words])
         out = [(base, list(itertools.chain.from_iterable([w[1] for w in words])))]
         if most == 1:
@@ -155,6 +178,7 @@ class Pieces:
         loss = [w[2] for w in words]
         places = [loss.index(min(loss))] if most == 2 else [k for _, k in heapq.nsmallest(most - 1, zip(loss, range(len(loss)), strict=True))]
         places = sorted(k for k in places if loss[k] < np.inf)
+        options = [[(s, self.ids(chunks[k], cuts)) for s, cuts in self.nbest(chunks[k], most)] for k in places]
         queue, seen = [(0.0, (0,) * len(places))], set()
         while queue and len(out) < most:
             lost, pick = heapq.heappop(queue)
@@ -163,13 +187,12 @@ class Pieces:
             seen.add(pick)
             if any(pick):
                 ids = [w[1] for w in words]
-                for k, x in zip(places, pick, strict=True):
-                    ids[k] = words[k][3][x][1]
+                for k, own, x in zip(places, options, pick, strict=True):
+                    ids[k] = own[x][1]
                 out.append((base - lost, list(itertools.chain.from_iterable(ids))))
-            for x, k in enumerate(places):
-                options = words[k][3]
-                if pick[x] + 1 < len(options):
-                    step = options[pick[x]][0] - options[pick[x] + 1][0]
+            for x, own in enumerate(options):
+                if pick[x] + 1 < len(own):
+                    step = own[pick[x]][0] - own[pick[x] + 1][0]
                     heapq.heappush(queue, (lost + step, pick[:x] + (pick[x] + 1,) + pick[x + 1 :]))
         return out
 
