@@ -121,7 +121,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     gone = materialize(repeated(docs).groupBy("doc").agg(F.collect_set("line").alias("_gone")), "dropped")
     rows = docs.drop("n_lines", "n_dropped")
-    rows = rows.join(gone, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    rows = rows.join(gone.hint("merge"), F.col("doc_id") == F.col("doc"), "left").drop("doc")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_gone", i)), "\n")
     rows = rows.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
