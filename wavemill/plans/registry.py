@@ -5,6 +5,9 @@ One text serves both engines where they agree; a pair of texts where spelling di
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import codec, parity
 from .views import duckdb, run
 
 _Z = "CASE WHEN {e} >= 0 THEN 2 * {e} ELSE -2 * {e} - 1 END"
@@ -117,3 +120,27 @@ def _query(text: str):
 
 QUERIES = {name: _query(text) for name, text in TEXTS.items()} | {name: _query(text) for name, (text, _) in PAIRS.items()}
 ORACLES = {name: duckdb(text) for name, text in TEXTS.items()} | {name: duckdb(text) for name, (_, text) in PAIRS.items()}
+
+
+def _pair(spark, sf_dir):
+    """The stereo signal, one row a sample of a channel."""
+    long = "SELECT 'events' AS stream_id, CAST(0 AS INT) AS channel, t, l AS x FROM {sig2} UNION ALL SELECT 'events', CAST(1 AS INT), t, r FROM {sig2}"
+    return run(spark, sf_dir, long)
+
+
+def chunk_round_trip(spark, sf_dir):
+    """Samples after coding into chunks and decoding."""
+    return codec.decode(codec.encode(_pair(spark, sf_dir), 32, 4096), 32).select("t", "channel", "x")
+
+
+def parity_repair(spark, sf_dir):
+    """Samples after one chunk of every eight is lost and rebuilt from parity."""
+    chunks = codec.encode(_pair(spark, sf_dir), 32, 4096)
+    whole = parity.repair(chunks.where("chunk % 8 <> 0"), parity.protect(chunks, 8, 2), 8)
+    whole = whole.withColumns({"start_frame": F.col("chunk") * 4096, "channels": F.lit(2), "crc": F.crc32("payload")})
+    return codec.decode(whole, 32).select("t", "channel", "x")
+
+
+_SAMPLES = duckdb("SELECT t, CAST(0 AS INT) AS channel, l AS x FROM {sig2} UNION ALL SELECT t, CAST(1 AS INT), r FROM {sig2}")
+QUERIES |= {"sq15_chunk_round_trip": chunk_round_trip, "sq17_parity_repair": parity_repair}
+ORACLES |= {"sq15_chunk_round_trip": _SAMPLES, "sq17_parity_repair": _SAMPLES}
