@@ -76,6 +76,21 @@ def test_neighbours(spark):
     assert neighbours.near(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_two_tight_groups(spark):
+    rng = np.random.default_rng(4)
+    u = rng.standard_normal(64)
+    v = rng.standard_normal(64)
+    u, v = u / np.sqrt(u @ u), v / np.sqrt(v @ v)
+    v = v - (u @ v) * u
+    centres = [u, 0.988 * u + np.sqrt(1 - 0.988**2) * v / np.sqrt(v @ v)]
+    rows = [(i, (centres[i % 2] + rng.standard_normal(64) * 0.0068).tolist(), 0) for i in range(80)]
+    rows += [(i, rng.standard_normal(64).tolist(), 0) for i in range(100, 400)]
+    want = neighbours.brute(rows)
+    assert min(n for k, n, _, _ in want if k < 80) > 60
+    got = neighbours.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
+
+
 def brute_lines(rows):
     def edit(a, b):
         if a == b:

@@ -18,6 +18,8 @@ LIST, TREES, LEAF, ROUNDS, SETTLED = 8, 3, 64, 4, 0.02
 #: Vectors whose links are counted by brute force, the recall they must show, and attempts (each with twice the list and new trees).
 AUDIT, RECALL, ATTEMPTS = 256, 0.99, 3
 BITS = 20
+#: Centres of balls in a block when components are compared.
+CENTRES = 1024
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -117,10 +119,67 @@ def _counts(g: pa.Table) -> list[tuple]:
     return [(int(ids[i]), int(n[i]), int(ids[root[i]])) for i in np.flatnonzero(n).tolist()]
 
 
+def _balls(g: pa.Table) -> list[tuple]:
+    """Rows of a piece of a component dealt to balls: (id, id of the ball's centre, angle between them). Members link to their centre."""
+    ids = g.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], _unit(g.column("emb").take(pa.array(order)))
+    sim, centre = x @ x.T, np.full(len(ids), -1)
+    for i in range(len(ids)):
+        if centre[i] < 0:
+            centre[(centre < 0) & (sim[i] >= SIMILARITY)] = i
+            centre[i] = i
+    angle = np.arccos(np.clip(sim[np.arange(len(ids)), centre], -1, 1))
+    return [(int(ids[i]), int(ids[c]), 0.0 if i == c else float(angle[i])) for i, c in enumerate(centre.tolist())]
+
+
+def _meet(g: pa.Table) -> list[tuple]:
+    """Pairs of balls of different components in a pair of blocks whose members can link by the angle of the centres, as (a, b, cosine of the centres)."""
+    ids, group, own, angle = (g.column(c).to_numpy() for c in ("id", "component", "_b", "angle"))
+    x = _unit(g.column("emb"))
+    sim = x @ x.T
+    reach = math.acos(SIMILARITY) + 1e-6 + angle[:, None] + angle[None, :]
+    can = (sim >= np.cos(np.minimum(reach, math.pi))) & (group[:, None] != group[None, :]) & (ids[:, None] < ids[None, :])
+    if g.column("_i")[0].as_py() != g.column("_j")[0].as_py():
+        can &= own[:, None] != own[None, :]
+    return [(int(ids[i]), int(ids[j]), float(sim[i, j])) for i, j in np.argwhere(can).tolist()]
+
+
+def _cross(g: pa.Table) -> list[tuple]:
+    """The nearest members of two balls if they link."""
+    ids, side, x = g.column("id").to_numpy(), g.column("side").to_numpy(), _unit(g.column("emb"))
+    p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    sim = x[p] @ x[q].T
+    i, j = np.unravel_index(sim.argmax(), sim.shape)
+    return [(int(ids[p[i]]), int(ids[q[j]]))] if sim[i, j] >= SIMILARITY else []
+
+
+def _touching(nodes: DataFrame, member: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components of nodes, one at least for each two that touch. Exact: nodes are covered by balls, the centres of a label are compared in pairs of blocks, and the members of balls that are near enough one by one."""
+    rows = materialize(nodes.join(member, "id", "left").withColumn("component", F.coalesce("component", "id")).select("label", "dim", "id", "component", "emb"), "open")
+    dealt = blocks(rows.select("component", "id", "emb"), ["component"], "id", BLOCK, pairs=False)
+    ball = materialize(grouped(dealt.select("component", "_i", "id", "emb"), ["component", "_i"], _balls, "id bigint, ball bigint, angle double"), "balls")
+    wide = ball.groupBy("ball").agg(F.max("angle").alias("angle")).withColumnRenamed("ball", "id")
+    dealt = blocks(rows.join(wide, "id"), ["label", "dim"], "id", CENTRES)
+    met = grouped(dealt.select("label", "dim", "_i", "_j", "_b", "id", "component", "angle", "emb"), ["label", "dim", "_i", "_j"], _meet, "a bigint, b bigint, sim double")
+    met = materialize(met, "met")
+    far = met.where(F.col("sim") < SIMILARITY)
+    sides = [far.join(ball.select(F.col("ball").alias(c), "id"), c).select("a", "b", F.lit(n).alias("side"), "id") for n, c in enumerate("ab")]
+    pairs = sides[0].union(sides[1]).join(rows.select("id", "emb"), "id").select("a", "b", "side", "id", "emb")
+    return met.where(F.col("sim") >= SIMILARITY).select("a", "b").union(grouped(pairs, ["a", "b"], _cross, "x bigint, y bigint"))
+
+
 def _links(nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, linked), (id, component): threshold edges of the graph, closed within each component by comparing it whole in pairs of blocks, so a saturated list grows to all that it can reach."""
+    """(id, linked), (id, component): threshold edges of the graph, closed within each component by comparing it whole in pairs of blocks, so a saturated list grows to all that it can reach.
+
+    A list that ends at SIMILARITY or more has not shown where a node's links end; components are compared with each other at all such nodes.
+    """
     edges = graph.where(F.col("sim") >= SIMILARITY).select(F.col("u").alias("a"), F.col("v").alias("b"))
     member = materialize(components(edges, "links"), "links")
+    ended = graph.groupBy("u").agg(F.min("sim").alias("last")).where(F.col("last") < SIMILARITY).select(F.col("u").alias("id"))
+    lost = materialize(_touching(nodes.join(ended, "id", "left_anti"), member), "touching")
+    if not lost.isEmpty():
+        member = materialize(components(edges.union(lost), "links"), "links")
     dealt = blocks(member.join(nodes.select("id", "copies", "emb"), "id"), ["component"], "id", BLOCK)
     counts = grouped(dealt.select("component", "_i", "_j", "_b", "id", "copies", "emb"), ["component", "_i", "_j"], _counts, "id bigint, n bigint, root bigint")
     return counts.groupBy("id").agg(F.sum("n").alias("linked")), member
