@@ -91,6 +91,22 @@ def test_neighbours_of_two_tight_groups(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
 
 
+def test_neighbours_audit_sees_lost_pairs_and_all_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(0, 300, 2):  # pairs without copies
+        x = rng.standard_normal(16)
+        rows += [(i, x.tolist(), 0), (i + 1, (x + rng.standard_normal(16) * 0.02).tolist(), 0)]
+    hot = rng.standard_normal(16)
+    rows += [(300, (hot + 0.01).tolist(), 0)] + [(301 + i, hot.tolist(), 0) for i in range(600)]
+    lost = spark.createDataFrame([(300, 301, 0.999), (301, 300, 0.999)] + [(i, j, 0.5) for i in range(302) for j in [(i + 7) % 302] if i < 300], "u bigint, v bigint, sim double")
+    monkeypatch.setattr(neighbours, "descend", lambda nodes, most, first_tree, known=None: lost)
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
+    got = neighbours.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == neighbours.brute(rows)
+    assert {r["recall"] for r in got} == {1.0}
+
+
 def brute_lines(rows):
     def edit(a, b):
         if a == b:

@@ -15,8 +15,10 @@ from .groups import BLOCK, blocks, components, grouped, linked
 SIMILARITY = 0.98
 #: Neighbours kept in a list, trees that start the lists, rows of a tree's leaf, rounds at most, share of new entries that ends them.
 LIST, TREES, LEAF, ROUNDS, SETTLED = 8, 3, 64, 4, 0.02
-#: Vectors whose links are counted by brute force, the recall they must show, and attempts (each with twice the list and new trees).
-AUDIT, RECALL, ATTEMPTS = 256, 0.99, 3
+#: Vectors of an audit's slice, audited vectors with links that end it, slices compared at once at most.
+AUDIT, SEEN, MOST_SLICES = 256, 256, 64
+#: Recall that the audit must show, and attempts (each with twice the list and new trees) before all vectors are compared.
+RECALL, ATTEMPTS = 0.99, 3
 BITS = 20
 #: Centres of balls in a block when components are compared.
 CENTRES = 1024
@@ -106,7 +108,7 @@ def descend(nodes: DataFrame, most: int, first_tree: int, known: DataFrame | Non
 
 
 def _counts(g: pa.Table) -> list[tuple]:
-    """Vectors linked to each row of a pair of blocks, copies counted, and the smallest id of its group here."""
+    """Vectors linked to each row of a pair of blocks, copies counted, the distinct ones, and the smallest id of its group here."""
     ids, copies, own = g.column("id").to_numpy(), g.column("copies").to_numpy(), g.column("_b").to_numpy()
     order = np.argsort(ids, kind="stable")
     x = _unit(g.column("emb").take(pa.array(order)))
@@ -115,8 +117,8 @@ def _counts(g: pa.Table) -> list[tuple]:
     np.fill_diagonal(close, False)
     if g.column("_i")[0].as_py() != g.column("_j")[0].as_py():
         close &= own[:, None] != own[None, :]
-    root, n = linked(close), close @ copies
-    return [(int(ids[i]), int(n[i]), int(ids[root[i]])) for i in np.flatnonzero(n).tolist()]
+    root, n, distinct = linked(close), close @ copies, close.sum(axis=1)
+    return [(int(ids[i]), int(n[i]), int(distinct[i]), int(ids[root[i]])) for i in np.flatnonzero(n).tolist()]
 
 
 def _balls(g: pa.Table) -> list[tuple]:
@@ -169,53 +171,69 @@ def _touching(nodes: DataFrame, member: DataFrame) -> DataFrame:
     return met.where(F.col("sim") >= SIMILARITY).select("a", "b").union(grouped(pairs, ["a", "b"], _cross, "x bigint, y bigint"))
 
 
-def _links(nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, linked), (id, component): threshold edges of the graph, closed within each component by comparing it whole in pairs of blocks, so a saturated list grows to all that it can reach.
+def _links(nodes: DataFrame, graph: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, linked, distinct), (id, component): threshold edges of the graph, closed within each component by comparing it whole in pairs of blocks, so a saturated list grows to all that it can reach.
 
-    A list that ends at SIMILARITY or more has not shown where a node's links end; components are compared with each other at all such nodes.
+    A list that ends at SIMILARITY or more has not shown where a node's links end; components are compared with each other at all such nodes; with every, at all nodes, which costs the square of a label's distinct vectors and misses no link.
     """
     edges = graph.where(F.col("sim") >= SIMILARITY).select(F.col("u").alias("a"), F.col("v").alias("b"))
     member = materialize(components(edges, "links"), "links")
     ended = graph.groupBy("u").agg(F.min("sim").alias("last")).where(F.col("last") < SIMILARITY).select(F.col("u").alias("id"))
-    lost = materialize(_touching(nodes.join(ended, "id", "left_anti"), member), "touching")
+    lost = materialize(_touching(nodes if every else nodes.join(ended, "id", "left_anti"), member), "touching")
     if not lost.isEmpty():
         member = materialize(components(edges.union(lost), "links"), "links")
     dealt = blocks(member.join(nodes.select("id", "copies", "emb"), "id"), ["component"], "id", BLOCK)
-    counts = grouped(dealt.select("component", "_i", "_j", "_b", "id", "copies", "emb"), ["component", "_i", "_j"], _counts, "id bigint, n bigint, root bigint")
-    return counts.groupBy("id").agg(F.sum("n").alias("linked")), member
+    counts = grouped(dealt.select("component", "_i", "_j", "_b", "id", "copies", "emb"), ["component", "_i", "_j"], _counts, "id bigint, n bigint, distinct bigint, root bigint")
+    return counts.groupBy("id").agg(F.sum("n").alias("linked"), F.sum("distinct").alias("distinct")), member
 
 
-def _audit(nodes: DataFrame, linked_: DataFrame) -> float:
-    """Share of the true links of a hashed set of at most AUDIT vectors that the result has; the set is compared with all rows."""
-    total = nodes.count()
-    if not total:
-        return 1.0
-    share = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 40)) < min(1.0, 2 * AUDIT / total) * (1 << 40)
-    asked = nodes.where(share).orderBy("id").limit(AUDIT).select("id", "label", "dim", "emb").collect()
-    if not asked:
-        return 1.0
+def _true_links(nodes: DataFrame, asked: list) -> DataFrame:
+    """(id, n): distinct vectors that each asked row links to, by comparing it with all rows."""
     by = {}
     for r in asked:
         by.setdefault((r["label"], r["dim"]), []).append(r)
-    held = nodes.sparkSession.sparkContext.broadcast({k: ([r["id"] for r in rs], np.array([r["emb"] for r in rs])) for k, rs in by.items()})
+    held = nodes.sparkSession.sparkContext.broadcast({k: (np.array([r["id"] for r in rs]), np.array([r["emb"] for r in rs])) for k, rs in by.items()})
 
     def task(batches):
         for b in batches:
-            labels, dims, ids, copies = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
-            out, labels = [], np.array(labels)
+            labels, dims, ids = np.array(b.column(0).to_pylist()), b.column(1).to_numpy(), b.column(2).to_numpy()
+            out = []
             for (label, dim), (qs, q) in held.value.items():
                 at = np.flatnonzero((labels == label) & (dims == dim))
                 if len(at):
-                    q = q / np.abs(q).max(axis=1, keepdims=True)
-                    q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
-                    close = q @ _unit(b.column(4).take(pa.array(at))).T >= SIMILARITY
-                    close &= np.array(qs)[:, None] != ids[at][None, :]
-                    out += [(k, int(n)) for k, n in zip(qs, close @ copies[at], strict=True) if n]
+                    x = _unit(b.column(3).take(pa.array(at)))
+                    for lo in range(0, len(qs), 1024):
+                        y = q[lo : lo + 1024]
+                        y = y / np.abs(y).max(axis=1, keepdims=True)
+                        close = (y / np.sqrt((y * y).sum(axis=1, keepdims=True))) @ x.T >= SIMILARITY
+                        close &= qs[lo : lo + 1024, None] != ids[at][None, :]
+                        n = close.sum(axis=1)
+                        out += [(int(qs[lo + i]), int(n[i])) for i in np.flatnonzero(n).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["id", "n"])
 
-    truth = nodes.select("label", "dim", "id", "copies", "emb").mapInArrow(task, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    r = truth.join(linked_, "id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("linked", F.lit(0))))).first()
-    return 1.0 if not r[0] else r[1] / r[0]
+    truth = nodes.select("label", "dim", "id", "emb").mapInArrow(task, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return materialize(truth, "truth")
+
+
+def _audit(nodes: DataFrame, linked_: DataFrame) -> float:
+    """Mean share, over audited vectors that have links, of their true links to other distinct vectors that the result has.
+
+    Slices of AUDIT vectors in hashed order are compared with all rows until SEEN of them have links or all vectors were
+    asked. Copies do not count, and each vector counts alike, so neither a common vector nor a large group hides the rest.
+    """
+    total = nodes.count()
+    slices = max(1, math.ceil(total / AUDIT))
+    with_links, found, done, step = 0, 0.0, 0, 1
+    while done < slices and with_links < SEEN:
+        place = F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(slices))
+        asked = nodes.where((place >= done) & (place < done + step)).select("id", "label", "dim", "emb").collect()
+        if asked:
+            share = F.least("n", F.coalesce("distinct", F.lit(0))) / F.col("n")
+            r = _true_links(nodes, asked).join(linked_, "id", "left").agg(F.count("*"), F.sum(share)).first()
+            with_links, found = with_links + r[0], found + (r[1] or 0.0)
+        done += step
+        step = min(2 * step, MOST_SLICES)
+    return found / with_links if with_links else 1.0
 
 
 def near(vectors: DataFrame) -> DataFrame:
@@ -243,6 +261,10 @@ def near(vectors: DataFrame) -> DataFrame:
         recall = _audit(nodes, linked_)
         if recall >= RECALL:
             break
+    else:
+        linked_, member = _links(nodes, graph, every=True)
+        linked_ = materialize(linked_, "linked")
+        recall = _audit(nodes, linked_)
     found = nodes.join(linked_, "id", "left").join(member, "id", "left")
     found = found.select("label", "dim", "emb", F.coalesce("component", "id").alias("_component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("_links"))
     mine = rows.join(found, ["label", "dim", "emb"]).groupBy("id").agg(F.min("_component").alias("_component"), F.max("_links").alias("_links"))
