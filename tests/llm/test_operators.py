@@ -291,3 +291,25 @@ def test_licences(spark, empty):
         ("h.txt", "Proprietary", "own"), ("i.txt", None, None), (None, None, None), ("a/b/z.txt", "CC-BY-NC-4.0", "own"), ("q/r.txt", None, None),
     ], key=str)
     assert licences.scan(empty.select(F.col("source").alias("path"), "text")).count() == 0
+
+
+def test_licences_whole_files_and_inline_notices(spark):
+    mit = licences_of("MIT").replace("Copyright (c)", "Copyright (c) 2031 Someone Else,", 1)
+    bsd3 = licences_of("BSD-3-Clause")
+    prose = "we went down to the old harbour that morning and nobody there had seen a boat for days "
+    rows = [
+        ("a/LICENSE", mit), ("a/x.txt", "words"), ("b/LICENSE", bsd3), ("b/x.txt", "words"), ("c/LICENSE", licences_of("BSD-2-Clause")), ("d.txt", prose + "Licensed under the Apache License, Version 2.0."),
+        ("e.txt", prose + "licensed under\nthe Apache License, Version 2.0. " + prose), ("f.txt", prose + "with permission"), ("g/LICENSE", licences_of("GPL-3.0").replace("GNU General", "GNU Affero General")),
+    ]
+    got = {r["path"]: (r["licence"], r["via"]) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got.pop("g/LICENSE")[0] != "GPL-3.0"
+    assert got == {
+        "a/LICENSE": ("MIT", "own"), "a/x.txt": ("MIT", "a/LICENSE"), "b/LICENSE": ("BSD-3-Clause", "own"), "b/x.txt": ("BSD-3-Clause", "b/LICENSE"), "c/LICENSE": ("BSD-2-Clause", "own"),
+        "d.txt": ("Apache-2.0", "own"), "e.txt": ("Apache-2.0", "own"), "f.txt": (None, None),
+    }
+
+
+def licences_of(name):
+    from wavemill.llm.licence_texts import FULL
+
+    return FULL[name]
