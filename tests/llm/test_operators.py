@@ -59,10 +59,42 @@ def test_jaccard(docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
-def test_jaccard_large_groups_are_split(spark):
-    rows = [(i, near(7, [i % 120, (i * 7) % 120])) for i in range(420)]
+def jaccard_rows(rows):
+    same = [jaccard.set_key(jaccard.shingles(t)) for _, t in rows]
+    return [(k, c, n, same.count(same[i])) for i, (k, c, n) in enumerate(jaccard.brute(rows))]
+
+
+@pytest.mark.parametrize("small,hot,block", [(192, 1024, 512), (8, 40, 30)])
+def test_jaccard_large_groups_are_split(spark, monkeypatch, small, hot, block):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard.blocks, "__defaults__", (block, *jaccard.blocks.__defaults__[1:]))
+    rows = [(i, near(7 + i // 420, [i % 120, (i * 7) % 120])) for i in range(460)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got) == jaccard_rows(rows)
+    assert {r["recall"] for r in got} == {1.0}
+
+
+def test_jaccard_repeats_runs_until_the_audit_is_content(spark, monkeypatch):
+    rows = [(i, near(i // 2, [i % 2 * 7])) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r["doc_id"], r["class_id"], r["n_links"] - r["n_copies"] + 1) for r in jaccard.join(docs).collect()) == sorted((k, c, n - sum(jaccard.set_key(jaccard.shingles(t)) == jaccard.set_key(jaccard.shingles(rows[k][1])) for _, t in rows) + 1) for k, c, n in jaccard.brute(rows))
+    rounds = []
+    find = jaccard.candidate_edges
+
+    def lazy(classes, seeds, known):
+        rounds.append(seeds)
+        return find(classes, seeds, known) if seeds is None else spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(jaccard, "candidate_edges", lazy)
+    got = jaccard.join(docs).collect()
+    assert len(rounds) == 2 * jaccard.ROUNDS + 1 and rounds[-1] is None
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in got) == jaccard_rows(rows)
+
+
+def test_jaccard_rows_without_an_id_or_with_one_id_for_two_texts(spark):
+    rows = [(None, near(1, [])), (None, near(1, [])), (5, near(1, [3])), (7, near(2, [])), (7, near(3, [])), (9, near(3, [50])), (None, near(4, [])), (None, near(4, [9]))]
+    got = jaccard.join(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, h int, cls int")).collect()
+    assert sorted(((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["n_copies"], r["first"]) for r in got)) == sorted([(0, 5, 2, 2, False), (0, 5, 2, 2, False), (5, 5, 2, 1, True), (7, 7, 0, 1, True), (7, 7, 1, 1, True), (9, 7, 1, 1, False), (0, 0, 1, 1, True), (0, 0, 1, 1, False)])
 
 
 def test_neighbours(spark):

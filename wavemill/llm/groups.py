@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of a group that are compared in one piece; a larger group is dealt to pairs of blocks of about this size.
-BLOCK = 256
+#: Rows, and bytes, of a group that are compared in one piece; a larger group is dealt to pairs of blocks of about this size.
+BLOCK, BYTES = 512, 8 << 20
 
 
 def streamed(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -61,19 +61,39 @@ def grouped(rows: DataFrame, keys: list[str], kernel: Callable[[pa.Table], list[
     return rows.select(*cols).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
 
 
-def blocks(rows: DataFrame, key: list[str], id_col: str, block: int = BLOCK, pairs: bool = True) -> DataFrame:
-    """Adds _i, _j (the pair of blocks) and _b (the row's own block) to rows, so that a group of g rows becomes pieces of about 2 * block rows. With pairs each row goes to every pair that holds its block; without, to its own block alone (_i = _j)."""
-    large = rows.groupBy(*key).agg(F.count("*").alias("_g")).where(F.col("_g") > block)
-    large = large.withColumn("_nb", F.ceil(F.col("_g") / block).cast("int")).drop("_g")
-    out = rows.join(large, key, "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
-    out = out.withColumn("_b", F.pmod(F.xxhash64(F.lit("block"), id_col), F.col("_nb")).cast("int"))
-    if not pairs:
-        return out.withColumn("_i", F.col("_b")).withColumn("_j", F.col("_b")).drop("_nb")
-    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_nb")
+def blocks(rows: DataFrame, key: list[str], id_col: str, block: int = BLOCK, pairs: bool = True, group: str | None = None, size: str | None = None, bytes_: int = BYTES) -> DataFrame:
+    """Adds _i, _j (the pair of blocks) and _b (the row's own block, a long) to rows, so that what is compared comes in pieces of at most about 2 * block rows and, where `size` names a column of bytes, 2 * bytes_ bytes.
 
-
-def linked(close: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    Keys of few rows are one block, compared with itself. With pairs, each row of a larger key goes to every pair that
+    holds its block; without, to its own block alone (_i = _j). With `group`, pairs within a group needn't meet: a group
+    of more than half a block has blocks of its own that are never paired with each other, the others share blocks whole.
+    """
+    by, weight = F.count("*").alias("_g"), F.sum(size) if size else F.lit(0)
+    large = rows.groupBy(*key).agg(by, weight.alias("_w"))
+    many = F.ceil(F.greatest(F.col("_g") / block, F.col("_w") / bytes_)).cast("int")
+    large = large.withColumn("_nb", many).where(F.col("_nb") > 1).select(*key, "_nb")
+    if group is None:
+        out = rows.join(large, key, "left")
+        out = out.withColumn("_b", F.when(F.col("_nb").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.lit("block"), id_col), F.col("_nb"))).cast("long"))
+        if not pairs:
+            return out.withColumn("_i", F.col("_b")).withColumn("_j", F.col("_b")).drop("_nb")
+        out = out.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_nb", F.lit(1)).cast("long") - 1)))
+        return out.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_nb")
+    few = rows.join(large, key, "left_anti").withColumns({c: F.lit(0).cast("long") for c in ("_b", "_i", "_j")})
+    hot = rows.join(large, key)
+    own = hot.groupBy(*key, group).agg(F.count("*").alias("_s")).where(F.col("_s") > block // 2)
+    hot = hot.join(own, [*key, group], "left")
+    part = F.when(F.col("_s").isNull(), F.xxhash64(F.lit("mixed"), F.pmod(F.xxhash64(F.lit("block"), group), F.col("_nb"))))
+    part = part.otherwise(F.xxhash64(F.lit("own"), group, F.pmod(F.xxhash64(F.lit("block"), id_col), F.ceil(F.col("_s") / block).cast("int"))))
+    hot = materialize(hot.withColumn("_b", part).withColumn("_own", F.when(F.col("_s").isNotNull(), F.col(group))).drop("_nb", "_s"), "hot-blocks")
+    there = hot.select(*key, "_b", "_own").distinct()
+    other = there.select(*key, F.col("_b").alias("_j"), F.col("_own").alias("_other"))
+    met = there.withColumnRenamed("_b", "_i").join(other, key).where("_i <= _j and not coalesce(_own = _other, false)").select(*key, "_i", "_j")
+    met = met.select(*key, F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_b"), "_i", "_j")
+    return few.unionByName(hot.drop("_own").join(met, [*key, "_b"]).select(*few.columns))
+
+
+def linked(close: np.ndarray) -> np.ndarray:
     """Root (smallest index) of each row under the symmetric boolean matrix `close`, by breadth-first search."""
     n, root = len(close), np.full(len(close), -1)
     for s in range(n):
