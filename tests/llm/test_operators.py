@@ -237,16 +237,35 @@ def test_token_file(spark, docs, empty, tmp_path):
     assert tokenfile.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_pieces(docs, empty):
+def test_pieces(spark, docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     own = pieces.model(path)
     for r in pieces.encode(docs, path).join(docs.select("doc_id", "text").dropDuplicates(), "doc_id").collect():
         text = r["text"] or ""
-        assert own.decode(r["ids"]) == text.replace("▁", " ")
-        assert r["second_score"] is None or r["second_score"] <= r["score"]
+        assert r["ids"] == own.sp.encode(text) and own.decode(r["ids"]) == text.replace("▁", " ")
+        assert all(own.decode(x) == text.replace("▁", " ") for x in r["next_ids"])
+        assert len(r["scores"]) == len(r["next_ids"]) + 1 and r["scores"] == sorted(r["scores"], reverse=True) and r["scores"][0] == 0
+        assert len({tuple(r["ids"]), *map(tuple, r["next_ids"])}) == len(r["scores"])
     assert pieces.encode(empty, path).count() == 0 and pieces.digest(empty, path).count() == 0
 
 
+def test_pieces_are_the_librarys_on_every_document(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: pieces.model(path).sp.encode(r["text"] or "") for r in rows.collect()}
+    got = pieces.digest(rows, path).collect()
+    assert len(got) == len(want)
+    assert all((r["n_pieces"], r["ids_crc32"]) == (len(want[r["doc_id"]]), zlib.crc32(np.asarray(want[r["doc_id"]], "<u4").tobytes())) and r["exact"] for r in got)
+    assert max(len(r["crcs"]) for r in got) == pieces.BEST
+
+
+def test_one_very_long_word():
+    m = pieces.model(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "abcdefgh" * 20_000
+    got = m.encode(text, 2)
+    assert got[0][1] == m.sp.encode(text) and m.decode(got[1][1]) == text and got[1][0] < got[0][0]
+
+
 def test_nbest_is_exact():
     import random
 

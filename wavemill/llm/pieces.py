@@ -7,6 +7,7 @@ import heapq
 import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -20,75 +21,104 @@ from .common import bounded_batches, table
 
 SPACE = "▁"
 #: Segmentations of a text that are returned.
-BEST = 2
+BEST = 4
 #: Words that a worker keeps, and slots of the marks that a word was met before: only words met twice are kept.
 CACHE, MARKS = 250_000, 1 << 22
-#: Score of a character without a piece, below the least ordinary piece; it is written as its bytes.
-UNKNOWN_GAP = 10.0
+#: Cost of a character without a piece, in a departure from the model's own segmentation; it is written as its bytes.
+UNKNOWN = 2.0
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class Pieces:
-    """Lattice search for one model. Scores are the model's; segmentations maximise their sum; of equal ones the first in order of expansion comes first."""
+    """Lattice search for one model.
+
+    Every piece of the model that stands in a text is an arc of its lattice. A merge-trained model's scores are the ranks
+    of its merges, and no sum of them gives its segmentations; so arcs of the segmentation that the model's own library
+    gives score 0, any other arc -1 less its rank's share of the vocabulary. The best path is then the library's, with
+    score 0, and the next ones leave it in the fewest and most usual pieces. Of equal sums the first in order of expansion
+    comes first. Given bare scores instead of a file, arcs score just those.
+    """
 
     def __init__(self, path: str | None = None, scores: dict[str, float] | None = None):
         """From a model file, or from pieces and scores (ids in order), as tests do."""
-        self.byte = {}
+        self.byte, self.sp = {}, None
         if path is not None:
             from sentencepiece import SentencePieceProcessor
 
-            sp = SentencePieceProcessor(model_file=path)
+            self.sp = sp = SentencePieceProcessor(model_file=path)
             names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
             usable = [i for i in range(len(names)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
             self.byte = {int(names[i][3:5], 16): i for i in range(len(names)) if sp.is_byte(i)}
-            self.score = {names[i]: sp.get_score(i) for i in usable}
+            rank = {i: r for r, i in enumerate(sorted(usable, key=lambda i: (-sp.get_score(i), i)))}
+            self.score = {names[i]: -1.0 - rank[i] / len(names) for i in usable}
             self.id = {names[i]: i for i in usable}
-            self.unk = sp.unk_id()
+            self.unk, self.unknown = sp.unk_id(), -UNKNOWN
+            self.lead = {i: 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b, i in self.byte.items()}
         else:
             names, self.score = list(scores), dict(scores)
             self.id, self.unk = {p: i for i, p in enumerate(names)}, len(names)
+            self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.name = names
-        # Long runs of spaces have a sentinel score in some models; as a sum it would swamp the rest, so it counts as the least ordinary one.
-        ordinary = [s for s in self.score.values() if s > -1e8]
-        low = min(ordinary, default=0.0)
-        self.score = {p: max(s, low) for p, s in self.score.items()}
-        self.unknown = low - UNKNOWN_GAP
         self.find = ahocorasick.Automaton()
         for piece, value in self.score.items():
             self.find.add_word(piece, (len(piece) - 1, value))
         self.find.make_automaton()
+        self.longest = max(map(len, self.score), default=1)
         self.single = {p for p in self.score if len(p) == 1}
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.known: dict[str, tuple] = {}
+        self.lists: dict[tuple[str, int], list] = {}
         self.met = bytearray(MARKS)
 
-    def arcs(self, chunk: str) -> list[list[tuple[int, float]]]:
-        """Arcs that end at each place: (start, score) by ascending start, found in one pass of the automaton of pieces. A character that no piece of one character covers has an unknown arc."""
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(len(chunk) + 1)]
-        for last, (more, s) in self.find.iter(chunk):
-            ends[last + 1].append((last - more, s))
+    def own(self, chunk: str) -> tuple[list[int], dict[int, int]]:
+        """Ids of the library's segmentation of a chunk, and the start of each of its arcs by its end; none without a library."""
+        if self.sp is None:
+            return [], {}
+        ids = self.sp.encode(chunk[1:]) if len(chunk) > 1 else [self.id[chunk]] if chunk in self.id else []
+        on, at, i = {}, 0, 0
+        while i < len(ids):
+            if ids[i] in self.lead:
+                i, end = i + self.lead[ids[i]], at + 1
+            else:
+                end = at + (1 if ids[i] == self.unk else len(self.name[ids[i]]))
+                i += 1
+            on[end] = at
+            at = end
+        if at != len(chunk):
+            raise ValueError("the model normalises text; its pieces are not parts of it")
+        return ids, on
+
+    def forward(self, chunk: str, on: dict[int, int]) -> tuple[array, array, array]:
+        """For each place: the best sum of the arcs up to it, where its best arc starts, and how much its second arc loses."""
+        n = len(chunk)
+        ahead, start, gap = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("d", [np.inf]) * (n + 1)
+        ahead[0] = 0.0
+        arcs = self.find.iter(chunk)
         if not self.single.issuperset(chunk):
-            for i, c in enumerate(chunk):
-                if c not in self.single:
-                    ends[i + 1].append((i, self.unknown))
-        return ends
+            bare = ((i, (0, self.unknown)) for i, c in enumerate(chunk) if c not in self.single)
+            arcs = heapq.merge(arcs, bare, key=lambda a: a[0])
+        get = on.get
+        for last, (more, s) in arcs:
+            i = last - more
+            last += 1
+            s = ahead[i] if get(last) == i else ahead[i] + s
+            lost = ahead[last] - s
+            if lost < 0:
+                gap[last], ahead[last], start[last] = -lost, s, i
+            elif lost < gap[last]:
+                gap[last] = lost
+        return ahead, start, gap
 
     def nbest(self, chunk: str, most: int) -> list[tuple[float, list[tuple[int, int]]]]:
         """Up to `most` segmentations, best first, as (score, [(start, end)]).
 
         The forward Viterbi score of a place is the exact score of what a backward search still has to cover. So a node
         of the queue stands for a whole path of known score, and different nodes for different paths: one that `most`
-        others beat is never opened, and is not even queued.
+        others beat is never opened, and is not even queued. Arcs are found where the search comes to a place, so a long
+        chunk needs no list of them.
         """
-        ends, n = self.arcs(chunk), len(chunk)
-        ahead = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            best = -np.inf
-            for i, s in ends[j]:
-                total = ahead[i] + s
-                if total > best:
-                    best = total
-            ahead[j] = best
+        on = self.own(chunk)[1]
+        ahead, n = self.forward(chunk, on)[0], len(chunk)
         order = 0
         queue: list[tuple] = [(-ahead[n], 0, n, 0.0, None)]
         alive = [ahead[n]]
@@ -97,7 +127,11 @@ class Pieces:
             _, _, at, behind, path = heapq.heappop(queue)
             while at:
                 best = None
-                for i, s in ends[at]:
+                for i in range(max(0, at - self.longest), at):
+                    s = self.score.get(chunk[i:at], self.unknown if i == at - 1 else None)
+                    if s is None:
+                        continue
+                    s = 0.0 if on.get(at) == i else s
                     reach = s + ahead[i]
                     if best is None or reach > best[0]:
                         best, other = (reach, i, s), best
@@ -120,40 +154,19 @@ class Pieces:
             return (self.id[piece],)
         return tuple(self.byte[b] for b in piece.encode("utf-8")) if self.byte else (self.unk,)
 
-    def best(self, chunk: str) -> tuple[float, list[tuple[int, int]], float]:
-        """(score, cuts, loss of the next) of the best segmentation: the forward scores alone, with the gap to the second arc at each place. The next segmentation leaves the best one at the place with the least gap."""
-        n = len(chunk)
-        if self.single.issuperset(chunk):
-            arcs = self.find.iter(chunk)
-        else:
-            arcs = ((j - 1, (j - 1 - i, s)) for j, end in enumerate(self.arcs(chunk)) for i, s in end)
-        ahead, start, gap = [0.0] + [-np.inf] * n, [0] * (n + 1), [np.inf] * (n + 1)
-        for last, (more, s) in arcs:
-            i = last - more
-            last += 1
-            s += ahead[i]
-            lost = ahead[last] - s
-            if lost < 0:
-                ahead[last], start[last], gap[last] = s, i, -lost
-            elif lost < gap[last]:
-                gap[last] = lost
-        cuts, loss, at = [], np.inf, n
-        while at:
-            if gap[at] < loss:
-                loss = gap[at]
-            cuts.append((start[at], at))
-            at = start[at]
-        cuts.reverse()
-        return ahead[n], cuts, loss
-
     def ids(self, chunk: str, cuts: list[tuple[int, int]]) -> tuple[int, ...]:
-        got = [self.id.get(chunk[a:b]) for a, b in cuts]
-        return tuple(itertools.chain.from_iterable([self.ids_of(chunk[a:b]) for a, b in cuts]) if None in got else got)
+        return tuple(itertools.chain.from_iterable([self.ids_of(chunk[a:b]) for a, b in cuts]))
 
     def chunk(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
-        """(best score, its ids, loss of the next) of one word. Words met twice are kept."""
-        score, cuts, loss = self.best(chunk)
-        got = (score, self.ids(chunk, cuts), loss)
+        """(best score, its ids, loss of the next) of one word: the next segmentation leaves the best one at the place with the least gap. Words met twice are kept."""
+        ids, on = self.own(chunk)
+        ahead, start, gap = self.forward(chunk, on)
+        at, loss, cuts = len(chunk), np.inf, []
+        while at:
+            loss = min(loss, gap[at])
+            cuts.append((start[at], at))
+            at = start[at]
+        got = (ahead[len(chunk)], tuple(ids) if on else self.ids(chunk, cuts[::-1]), loss)
         slot = hash(chunk) & (MARKS - 1)
         if not self.met[slot]:
             self.met[slot] = 1
@@ -161,8 +174,16 @@ class Pieces:
             self.known[chunk] = got
         return got
 
+    def options(self, chunk: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
+        got = self.lists.get((chunk, most))
+        if got is None:
+            got = [(s, self.ids(chunk, cuts)) for s, cuts in self.nbest(chunk, most)]
+            if len(self.lists) < CACHE // 8 and len(chunk) < 100:
+                self.lists[chunk, most] = got
+        return got
+
     def encode(self, text: str, most: int = BEST) -> list[tuple[float, list[int]]]:
-        """Up to `most` segmentations of a text, best first. No piece of the model crosses the start of a word, so a text's lattice is its words' end to end, and its best sums are found over the words' own lists. Only the words with the least losses are searched for more than their best. Empty text has one empty segmentation."""
+        """Up to `most` segmentations of a text, best first. No piece of the model crosses the start of a word, so a text's lattice is its words' end to end, and its best sums are found over the words' own lists: only the words with the least losses can differ from their best in them. Empty text has one empty segmentation."""
         if not text:
             return [(0.0, [])]
         whole = SPACE + text.replace(" ", SPACE)
@@ -174,11 +195,14 @@ class Pieces:
         out = [(base, list(itertools.chain.from_iterable([w[1] for w in words])))]
         if most == 1:
             return out
-        # only the words with the least loss can differ in the best `most`
-        loss = [w[2] for w in words]
-        places = [loss.index(min(loss))] if most == 2 else [k for _, k in heapq.nsmallest(most - 1, zip(loss, range(len(loss)), strict=True))]
-        places = sorted(k for k in places if loss[k] < np.inf)
-        options = [[(s, self.ids(chunks[k], cuts)) for s, cuts in self.nbest(chunks[k], most)] for k in places]
+        first = out[0][1]
+        starts = [0, *itertools.accumulate([len(w[1]) for w in words])]
+        places, loss = [], [w[2] for w in words]
+        while len(places) < most - 1 and (least := min(loss)) < np.inf:
+            places.append(loss.index(least))
+            loss[places[-1]] = np.inf
+        places.sort()
+        options = [self.options(chunks[k], most) for k in places]
         queue, seen = [(0.0, (0,) * len(places))], set()
         while queue and len(out) < most:
             lost, pick = heapq.heappop(queue)
@@ -186,10 +210,12 @@ class Pieces:
                 continue
             seen.add(pick)
             if any(pick):
-                ids = [w[1] for w in words]
+                ids, at = [], 0
                 for k, own, x in zip(places, options, pick, strict=True):
-                    ids[k] = own[x][1]
-                out.append((base - lost, list(itertools.chain.from_iterable(ids))))
+                    if x:
+                        ids += [first[starts[at] : starts[k]], own[x][1]]
+                        at = k + 1
+                out.append((base - lost, list(itertools.chain(*ids, first[starts[at] :]))))
             for x, own in enumerate(options):
                 if pick[x] + 1 < len(own):
                     step = own[pick[x]][0] - own[pick[x] + 1][0]
@@ -199,7 +225,7 @@ class Pieces:
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes are joined and decoded, the first word's space goes. Exact for encode's output unless the text has the space mark itself, which comes back as a space."""
         if not self.byte:
-            text = "".join(self.name[i] if i < len(self.name) else "�" for i in ids)
+            text = "".join(self.name[i] if i < len(self.name) else "\ufffd" for i in ids)
         else:
             raw = self._raw
             text = b"".join(raw[i] for i in ids).decode("utf-8", "replace")
@@ -224,10 +250,11 @@ def model(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
-    """(doc_id, ids, score, second_ids, second_score): the best and the next segmentation of each whole text.
+    """(doc_id, ids, scores, next_ids): the library's segmentation of each whole text, the scores of the `most` best ones, itself first, and the ids of the others.
 
-    Null text counts as empty: no ids, score 0, no second. A text whose lattice has one path has no second either.
-    Repeated rows give equal rows; other columns are ignored.
+    Null text counts as empty: no ids, score 0, nothing else. A text whose lattice has fewer paths has fewer scores. Ties
+    go to the first found, always the same. Repeated rows give equal rows; other columns are ignored; an empty table
+    gives no rows. A text is one row's work, in memory of a few times its size.
     """
     bounded_batches(docs.sparkSession, 128)
     rows = docs.select("doc_id", "text")
@@ -237,17 +264,17 @@ def encode(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
         for b in batches:
             got = [own.encode(t or "", most) for t in b.column(1).to_pylist()]
             gc.freeze()  # kept words have no cycles: the collector needn't walk them again
-            second = [g[1] if len(g) > 1 else (None, None) for g in got]
-            kinds = (pa.list_(pa.int32()), pa.float64()) * 2
-            cols = ([g[0][1] for g in got], [g[0][0] for g in got], [s[1] for s in second], [s[0] for s in second])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "ids", "score", "second_ids", "second_score"])
+            ids = pa.list_(pa.int32())
+            cols = (pa.array([g[0][1] for g in got], ids), pa.array([[s for s, _ in g] for g in got], pa.list_(pa.float64())), pa.array([[x for _, x in g[1:]] for g in got], pa.list_(ids)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "ids", "scores", "next_ids"])
 
-    shape = T.StructType([rows.schema["doc_id"]]).add("ids", T.ArrayType(T.IntegerType())).add("score", "double").add("second_ids", T.ArrayType(T.IntegerType())).add("second_score", "double")
+    ids = T.ArrayType(T.IntegerType())
+    shape = T.StructType([rows.schema["doc_id"]]).add("ids", ids).add("scores", T.ArrayType(T.DoubleType())).add("next_ids", T.ArrayType(ids))
     return rows.mapInArrow(task, shape)
 
 
 def digest(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, score, second_score, text_crc32, exact): encode and decode in one pass, so ids never leave the worker. text_crc32 is that of the decoded text, exact whether it is the text."""
+    """(doc_id, n_pieces, ids_crc32, scores, crcs, text_crc32, exact): encode and decode in one pass, so ids never leave the worker. scores and crcs (of the ids) are those of the `most` best segmentations, the library's first; text_crc32 is that of the decoded text, exact whether it is the text."""
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
 
@@ -258,15 +285,14 @@ def digest(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
             gc.freeze()  # kept words have no cycles: the collector needn't walk them again
             for t in b.column(1).to_pylist():
                 got = own.encode(t or "", most)
-                ids, back = got[0][1], own.decode(got[0][1])
-                out.append((len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()), got[0][0], got[1][0] if len(got) > 1 else None, zlib.crc32(back.encode("utf-8")), back == (t or "")))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+                back = own.decode(got[0][1])
+                crcs = [zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()) for _, ids in got]
+                out.append((len(got[0][1]), crcs[0], [s for s, _ in got], crcs, zlib.crc32(back.encode("utf-8")), back == (t or "")))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
             cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_pieces", "ids_crc32", "score", "second_score", "text_crc32", "exact"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_pieces", "ids_crc32", "scores", "crcs", "text_crc32", "exact"])
 
-    shape = T.StructType([rows.schema["doc_id"]])
-    for name, kind in (("n_pieces", "long"), ("ids_crc32", "long"), ("score", "double"), ("second_score", "double"), ("text_crc32", "long"), ("exact", "boolean")):
-        shape = shape.add(name, kind)
+    shape = T.StructType([rows.schema["doc_id"]]).add("n_pieces", "long").add("ids_crc32", "long").add("scores", T.ArrayType(T.DoubleType())).add("crcs", T.ArrayType(T.LongType())).add("text_crc32", "long").add("exact", "boolean")
     return rows.mapInArrow(task, shape)
 
 
