@@ -154,12 +154,9 @@ def brute_lines(rows):
         kept = []
         for part in t.split("\n"):
             s = part.strip(" ")
-            if len(s) >= lines.LEAST and any(edit(s, x) for x in seen):
-                pass
-            else:
+            if not s or not any(s == x or min(len(s), len(x)) >= lines.LEAST and edit(s, x) for x in seen):
                 kept.append(part)
-            if len(s) >= lines.LEAST:
-                seen.append(s)
+            seen.append(s)
         out[k] = "\n".join(kept)
     return out
 
@@ -173,7 +170,8 @@ def test_lines(spark, docs, empty):
         at = int(rng.integers(0, len(s)))
         made.append([s[:at] + s[at + 1 :], s[:at] + "z" + s[at + 1 :], s[:at] + "z" + s[at:], s[:at] + "zz" + s[at:]][i % 4])
     rng.shuffle(made)
-    rows = [(i, "\n".join(made[i * 4 : i * 4 + 4])) for i in range(30)]
+    made += ["short", " short ", "", "x", "x", "shorx", "", "  "]
+    rows = [(i, "\n".join(made[i * 4 : i * 4 + 4])) for i in range(32)]
     got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_lines(rows)
     out = lines.dedup(docs)
@@ -182,6 +180,17 @@ def test_lines(spark, docs, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_lines_of_rows_that_repeat_an_id_and_clashing_columns(spark):
+    same = "this very line stands in many texts"
+    rows = [(1, f"{same}\nthe first text has this line too"), (2, f"{same}\nsecond text of document two is here"), (2, "THIS IS UNIQUE TEXT THAT MUST STAY\nand so is this one"), (2, "THIS IS UNIQUE TEXT THAT MUST STAY\nand so is this one"), (None, f"{same}\nno id"), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, doc int, _gone int, d int, gone int, row int")
+    got = lines.dedup(docs)
+    assert set(got.columns) == {*docs.columns, "n_lines", "n_dropped"}
+    want = [rows[0], (2, "second text of document two is here"), rows[2], rows[2], (None, "no id"), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert {(r["doc"], r["_gone"], r["d"], r["gone"], r["row"]) for r in got.collect()} == {(1, 2, 3, 4, 5)}
+
+
 def test_mix(docs, empty):
     out = mix.plan(docs).collect()
     assert len(out) == docs.count()
