@@ -373,3 +373,42 @@ def licences_of(name):
     from wavemill.llm.licence_texts import FULL
 
     return FULL[name]
+
+
+def brute_licence(matcher, text):
+    """Best cosine over every span of every notice's length, each line, and the whole licences, one by one."""
+    words = licences.terms(text or "")
+
+    def cosine(some, w, m):
+        v, norm = matcher.vector(" ".join(some))
+        return sum(x * w.get(t, 0.0) for t, x in v.items()) / (norm * m) if norm else 0.0
+
+    top = max(((round(cosine(words, w, m), 9), name) for name, w, m in matcher.full), default=(0, "")) if words else (0, "")
+    if top[0] >= licences.LEAST:
+        return top[1]
+    found = []
+    for (name, w, m), size in zip(matcher.templates, [len(licences.terms(x)) for n in sorted(licences.TEMPLATES) for x in licences.TEMPLATES[n]], strict=True):
+        found += [(round(cosine(words[i : i + size], w, m), 9), size, name) for i in range(len(words) - size + 1)]
+    return max(found, default=(0, 0, ""))[2] if max(found, default=(0,))[0] >= licences.LEAST else None
+
+
+def test_licences_against_every_span(spark):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    rows = [t[:3000] for t in rows if t and len(t) < 9000][:60]
+    made = ["# SPDX-License-Identifier: GPL-3.0-or-later\ncode", "# Licensed under GPLv3", "Apache 2.0", "x released under the MIT license y", "licensed under mozilla public licence"]
+    total, df = 100, {t: 3 + i % 20 for i, t in enumerate(sorted(licences.VOCABULARY))}
+    matcher = licences.Matcher(total, df)
+    got = [matcher.scan(t)[0] for t in made]
+    assert got[:4] == ["GPL-3.0", "GPL-3.0", "Apache-2.0", "MIT"]
+    for t in rows + made:
+        want = brute_licence(matcher, t)
+        assert want is None or matcher.scan(t)[0] is not None  # runs of lines may add notices, spans lose none
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"):
+        assert matcher.scan(licences_of(name))[0] == name
+
+
+def test_licences_with_ties_and_without_ids(spark):
+    rows = [(1, "a/LICENSE", "MIT License"), (2, "a/COPYING", "Released under the MIT License."), (None, "a/x", "plain"), (3, "a/b/y", "word " * 20000), (None, None, None)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), ("doc_id",)).collect()
+    assert len(got) == 5
+    assert {(r["doc_id"], r["path"], r["licence"], r["via"]) for r in got} == {(1, "a/LICENSE", "MIT", "own"), (2, "a/COPYING", "MIT", "own"), (None, "a/x", "MIT", "a/COPYING"), (3, "a/b/y", "MIT", "a/COPYING"), (None, None, None, None)}
