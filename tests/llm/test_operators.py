@@ -309,19 +309,40 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, {}).count() == 0 and language.identify(docs, {}).where("lang_pred <> 'und'").count() == 0
 
 
-def test_automaton_phrases_are_longest_matches():
+def plain_phrases(text, learnt):
+    n, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and any(text[at : end + 1] in t for t in learnt):
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("own,block,lanes", [(96, 1024, 2048), (2, 7, 3), (0, 1, 2)])
+def test_phrases_are_longest_matches_across_blocks(monkeypatch, own, block, lanes):
+    monkeypatch.setattr(language, "OWN_LETTERS", own)
+    monkeypatch.setattr(language, "BLOCK", block)
+    monkeypatch.setattr(language, "LANES", lanes)
     rng = np.random.default_rng(9)
-    learnt = ["".join(rng.choice(list("abc"), 30)) for _ in range(4)]
-    p = language.Parser((("x", tuple(learnt)),))
-    for _ in range(50):
-        text = "".join(rng.choice(list("abcz"), int(rng.integers(1, 60))))
-        n, at = 0, 0
-        while at < len(text):
-            end = at + 1
-            while end < len(text) and any(text[at : end + 1] in t for t in learnt):
-                end += 1
-            n, at = n + 1, end
-        assert p.phrases([p.code(text)])[0, 0] == n
+    learnt = [["".join(rng.choice(list(abc), 30)) for _ in range(4)] for abc in ("abc", "abde", "你好吗a")]
+    p = language.Parser(tuple((str(i), tuple(x)) for i, x in enumerate(learnt)))
+    texts = ["".join(rng.choice(list("abcdez你好"), int(rng.integers(1, 90)))) for _ in range(40)] + ["", "ab" * 60, "a" * 100, "z" * 50]
+    got = p.phrases([p.code(t) for t in texts])
+    assert got.tolist() == [[plain_phrases(t, x) for x in learnt] for t in texts]
+
+
+def test_language_of_long_texts_and_ties(spark):
+    learnt = {"aa": ["the quick brown fox jumps over the lazy dog"], "bb": ["the quick brown fox jumps over the lazy dog"], "cc": ["portez ce vieux whisky au juge blond qui fume"]}
+    rows = [(1, "whisky blond au juge " * 3000), (2, "the lazy fox"), (None, "the lazy fox"), (3, "1 2 3")]
+    p = language.Parser(tuple((k, tuple(v)) for k, v in sorted(learnt.items())))
+    got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), learnt).collect()}
+    code = [p.code(t) for _, t in rows[:2]]
+    plain = [["".join(map(chr, c + 200)) for c in map(p.code, ts)] for _, ts in sorted(learnt.items())]
+    rates = [[plain_phrases("".join(map(chr, c + 200)), x) * s / len(c) for x, s in zip(plain, p.scale, strict=True)] for c in code]
+    assert {(k, pred) for k, pred, _ in got} == {(1, "cc"), (2, "aa"), (None, "aa"), (3, "und")}
+    assert next(s for k, _, s in got if k == 1) == pytest.approx(rates[0][0] / (rates[0][0] + rates[0][2]))
+    assert next(s for k, _, s in got if k == 2) == 0.5
 
 
 def test_quality(spark, docs, empty):

@@ -16,10 +16,10 @@ from .common import bounded_batches, crc_of, table
 
 #: Labelled characters of each language that are learnt at most: whole documents in hashed order, none longer than the bound.
 SAMPLE_CHARS = 60_000
-#: Letters with an id of their own; all others share a few.
-OWN_LETTERS, SHARED = 96, 16
-#: Texts are parsed in blocks of so many characters, side by side.
-BLOCK = 1024
+#: Letters with a column of their own in the table of transitions; those of the others are looked up.
+OWN_LETTERS = 96
+#: Texts are parsed in blocks of so many characters, so many side by side; phrases that cross a block's start are mended.
+BLOCK, LANES = 1024, 2048
 #: Languages are learnt where crc32(doc_id) mod FOLDS is not HELD.
 FOLDS, HELD = 4, 2
 
@@ -42,8 +42,8 @@ def sample(docs: DataFrame, bound: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     return out
 
 
-def automaton(texts: list[np.ndarray], letters: int) -> np.ndarray:
-    """Transitions (states, letters) of the suffix automaton of all texts, state 0 first; -1 where none. No match runs from one text into the next."""
+def automaton(texts: list[np.ndarray]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of all texts, state 0 first. No match runs from one text into the next."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
 
@@ -75,11 +75,7 @@ def automaton(texts: list[np.ndarray], letters: int) -> np.ndarray:
                 q = step[p][c]
                 link[new] = q if length[q] == length[p] + 1 else copy(p, q, c)
             last = new
-    out = np.full((len(step), letters), -1, dtype=np.int32)
-    for s, row in enumerate(step):
-        if row:
-            out[s, list(row)] = list(row.values())
-    return out
+    return step
 
 
 class Parser:
@@ -88,23 +84,35 @@ class Parser:
     def __init__(self, texts: tuple[tuple[str, tuple[str, ...]], ...]):
         self.langs = [k for k, _ in texts]
         seen = Counter(c for _, ts in texts for t in ts for c in t.lower() if c.isalpha())
-        own = sorted(sorted(seen), key=lambda c: -seen[c])[:OWN_LETTERS]
-        self.width = 1 + len(own) + SHARED
-        self.ids = np.zeros(0x110000, dtype=np.uint8)
-        letters = np.array([i for i in range(0x110000) if chr(i).isalpha()])
-        self.ids[letters] = 1 + len(own) + letters % SHARED
+        own = sorted(sorted(seen), key=lambda c: -seen[c])
+        self.ids = np.zeros(0x110000, dtype=np.int32)
+        self.ids[[i for i in range(0x110000) if chr(i).isalpha()]] = len(own) + 1  # never learnt: a phrase alone everywhere
         self.ids[[ord(c) for c in own]] = np.arange(1, len(own) + 1)
-        tables, self.roots, self.scale, base = [], [], [], 0
-        for _, ts in texts:
+        self.wide, self.width = len(own) + 2, 1 + min(len(own), OWN_LETTERS)
+        tables, keys, values, self.roots, self.scale, base = [], [], [], [], [], 0
+        self.alone = np.zeros((len(texts), self.wide), dtype=np.int64)  # what a letter that begins a phrase leads to
+        for k, (_, ts) in enumerate(texts):
             coded = [self.code(t) for t in ts]
-            go = automaton(coded, self.width)
-            first = np.where(go[0] < 0, 0, go[0])
-            new = (go < 0) | (np.arange(len(go)) == 0)[:, None]
-            tables.append((np.where(go < 0, first, go) + base) * 2 + new)  # next state, and whether a phrase begins
+            steps = automaton(coded)
+            self.alone[k] = base * 2 + 1
+            for c, to in steps[0].items():
+                self.alone[k, c] = (to + base) * 2 + 1
+            go = np.tile(self.alone[k, : self.width], (len(steps), 1))  # next state twice, and whether a phrase begins
+            for i, row in enumerate(steps[1:], 1):
+                for c, to in row.items():
+                    if c < self.width:
+                        go[i, c] = (to + base) * 2
+                    else:
+                        keys.append((i + base) * self.wide + c)
+                        values.append((to + base) * 2)
+            tables.append(go)
             self.roots.append(base)
             self.scale.append(np.log(2 + sum(map(len, coded))))
-            base += len(go)
+            base += len(steps)
         self.next = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys = np.append(np.array(keys, dtype=np.int64)[order], np.iinfo(np.int64).max)
+        self.values = np.append(np.array(values, dtype=np.int32)[order], 0)
 
     def code(self, text: str) -> np.ndarray:
         """Letters as ids, each run of anything else as one 0."""
@@ -113,8 +121,21 @@ class Parser:
         kept[1:] |= ids[:-1] > 0
         return ids[kept]
 
+    def step(self, state: np.ndarray, letter: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Next state twice, and whether a phrase begins, for arrays of states, letters and languages that broadcast to the states' shape."""
+        rare = letter >= self.width
+        if not rare.any():
+            return self.next[state * self.width + letter]
+        out = self.next[state * self.width + np.where(rare, 0, letter)]
+        at = np.nonzero(np.broadcast_to(rare, state.shape))
+        c, k = np.broadcast_to(letter, state.shape)[at], np.broadcast_to(lang, state.shape)[at]
+        key = state[at].astype(np.int64) * self.wide + c
+        place = np.searchsorted(self.keys, key)
+        out[at] = np.where(self.keys[place] == key, self.values[place], self.alone[k, c])
+        return out
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(texts, languages): phrases of each text's blocks."""
+        """(texts, languages): phrases of each text."""
         starts, lengths, owner, at = [], [], [], 0
         for i, t in enumerate(texts):
             for s in range(0, len(t), BLOCK):
@@ -123,22 +144,63 @@ class Parser:
                 owner.append(i)
             at += len(t)
         counts = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        if not starts:
-            return counts
-        order = np.argsort(-np.array(lengths), kind="stable")
-        start, length, owner = np.array(starts)[order], np.array(lengths)[order], np.array(owner)[order]
-        flat = np.concatenate(texts)
-        alive = np.searchsorted(-length, -np.arange(length[0]), "left")  # lanes longer than t
-        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], len(start), axis=1)
-        got = np.zeros(state.shape, dtype=np.int32)
-        for t in range(int(length[0])):
-            m = int(alive[t])
-            entry = self.next[state[:, :m] * self.width + flat[start[:m] + t]]
-            got[:, :m] += entry & 1
-            state[:, :m] = entry >> 1
-        np.add.at(counts, owner, got.T)
+        flat, carry = np.concatenate(texts) if starts else None, None
+        for a in range(0, len(starts), LANES):
+            own = np.array(owner[a : a + LANES])
+            first = np.append(a == 0 or owner[a - 1] != own[0], own[1:] != own[:-1])
+            got, carry = self._group(flat, np.array(starts[a : a + LANES]), np.array(lengths[a : a + LANES]), first, carry)
+            np.add.at(counts, own, got.T)
         return counts
 
+    def _group(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray, carry: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases (languages, blocks) of consecutive blocks, and the states at the end of the last. carry: the states before the first block, if a text goes on there.
+
+        All blocks are parsed at once as if a phrase began with each. Then each block that goes on from another is parsed
+        again from its true state, only until a phrase begins where one did before: from there both are the same.
+        """
+        n, langs = len(start), len(self.langs)
+        order = np.argsort(-length, kind="stable")
+        by_start, alive = start[order], np.searchsorted(-length[order], -np.arange(length.max()), "left")  # blocks longer than t
+        lang = np.arange(langs)[:, None]
+        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], n, axis=1)
+        begins = np.zeros((int(length.max()), langs, n), dtype=bool)
+        for t, m in enumerate(alive.tolist()):
+            entry = self.step(state[:, :m], flat[by_start[:m] + t][None, :], lang)
+            begins[t, :, order[:m]] = (entry & 1).T
+            state[:, :m] = entry >> 1
+        end = np.empty_like(state)
+        end[:, order] = state
+        guess = begins.sum(axis=0, dtype=np.int64)
+        count, spec_end = guess.copy(), end.copy()
+        k, i = np.nonzero(np.broadcast_to(~first, (langs, n)))
+        while len(k):
+            s = end[k, i - 1] if carry is None else np.where(i > 0, end[k, i - 1], carry[k])
+            seen, live = np.zeros(len(k), dtype=np.int64), np.arange(len(k))
+            was = end[k, i].copy()
+            for t in range(int(length[i].max())):
+                over = length[i[live]] <= t
+                if over.any():
+                    done = live[over]
+                    count[k[done], i[done]], end[k[done], i[done]] = seen[done], s[done]
+                    live = live[~over]
+                if not len(live):
+                    break
+                entry = self.step(s[live], flat[start[i[live]] + t], k[live])
+                s[live] = entry >> 1
+                seen[live] += entry & 1
+                same = (entry & 1).astype(bool) & begins[t, k[live], i[live]]
+                if same.any():
+                    done = live[same]
+                    before = begins[: t + 1, k[done], i[done]].sum(axis=0)
+                    count[k[done], i[done]] = seen[done] + guess[k[done], i[done]] - before
+                    end[k[done], i[done]] = spec_end[k[done], i[done]]
+                    live = live[~same]
+            count[k[live], i[live]], end[k[live], i[live]] = seen[live], s[live]
+            moved = (end[k, i] != was) & (i + 1 < n)
+            moved[moved] &= ~first[i[moved] + 1]
+            k, i = k[moved], i[moved] + 1  # their successors began from another state
+        return count, end[:, -1]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         coded = [self.code(t or "") for t in texts]
         counts = self.phrases(coded) if self.langs else np.zeros((len(texts), 0))
@@ -162,11 +224,11 @@ def parser(texts: tuple) -> Parser:
 def identify(docs: DataFrame, learnt: dict[str, list[str]]) -> DataFrame:
     """(doc_id, lang_pred, score) of docs (doc_id, text).
 
-    A text is lower-cased, runs of non-letters become one gap, and the whole of it is cross-parsed in blocks of 1024:
+    A text is lower-cased, runs of non-letters become one gap, and the whole of it is cross-parsed, whatever its length:
     each phrase is the longest match in the language's text, a letter without any match a phrase alone. The language
     with the fewest phrases, times the log of what was learnt, for each letter wins; a tie goes to the first by code
     point. score is the runner-up's share of the two rates: 0.5 at a tie, 1 if only one language is known. Null text, or
-    text without a letter, or nothing learnt: `und` and 0. Repeated rows give equal rows; other columns are ignored.
+    text without a letter, or nothing learnt: `und` and 0. Repeated rows, null ids too, give equal rows; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
