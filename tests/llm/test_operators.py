@@ -108,6 +108,15 @@ def test_neighbours(spark):
     assert neighbours.near(df.limit(0)).count() == 0
 
 
+def test_neighbours_that_repeat_or_lack_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (None, [1.0, 0.0], 0), (5, [1.0, 0.0], 1)]
+    got = neighbours.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 6 and {r["recall"] for r in got} == {1.0}
+    assert {(r["vec_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (None, None, False), (5, 5, True)}
+    alone = neighbours.near(spark.createDataFrame(rows[3:4], "vec_id long, embedding array<double>, label int")).collect()
+    assert [(r["n_links"], r["recall"]) for r in alone] == [(0, None)]
+
+
 def test_neighbours_of_two_tight_groups(spark):
     rng = np.random.default_rng(4)
     u = rng.standard_normal(64)
@@ -217,6 +226,39 @@ def test_media(docs, empty):
     assert media.features(media.store_text(empty)).count() == 0
 
 
+def plain_feature(payload):
+    """The hash by its definition: fold to 24 columns, mean over 32 x 32 cells with shares of samples, cosine transform."""
+    rows = [payload[i : i + media.FOLD] for i in range(0, len(payload), media.FOLD)]
+
+    def cells(line):
+        out, n = [], len(line)
+        for k in range(32):
+            a, b = k * n / 32, (k + 1) * n / 32
+            out.append(sum(max(0.0, min(b, i + 1) - max(a, i)) * line[i] for i in range(int(a), min(n, int(b) + 1))) * 32 / n)
+        return out
+
+    grid = list(zip(*[cells(list(c)) for c in zip(*[cells(list(r)) for r in rows], strict=True)], strict=True))
+    cos = np.cos(np.pi * (2 * np.arange(32) + 1)[None, :] * np.arange(8)[:, None] / 64)
+    c = np.round(cos @ np.array(grid) @ cos.T / 1024, 6).ravel()
+    bits = "".join("1" if x > np.median(c[1:]) else "0" for x in c)
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_of_documents_against_plain_versions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()
+    texts = {r["doc_id"]: r["text"] for r in rows} | {10**9: None, 10**9 + 1: "é" * 4000, 10**9 + 2: "x" * 300_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    stored = {r["doc_id"]: bytes(r["png"]) for r in media.store_text(df).collect()}
+    same = 0
+    for r in media.features(media.store_text(df)).collect():
+        data, n = media.payload_of(texts[r["doc_id"]])
+        png = stored[r["doc_id"]]
+        assert (r["media_bytes"], r["media_sha256"], r["n_bytes"]) == (len(png), hashlib.sha256(png).hexdigest(), n)
+        if len(data) < 30_000:
+            same += r["feature"] == plain_feature(data)
+    assert same >= 0.95 * sum(len(media.payload_of(t)[0]) < 30_000 for t in texts.values())  # ties of coefficients may fall either way
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_png_filters_and_damage(kind):
     rng = np.random.default_rng(kind)
@@ -361,6 +403,38 @@ def test_quality(spark, docs, empty):
     assert quality.score(stats, model).count() == 0
 
 
+def test_quality_against_plain_densities(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    x = {k: np.array(quality.statistics(t)) / quality.GRAIN for k, t in texts.items()}
+    learn = {y: np.array([x[k] for k in x if mark.get(k) == y and zlib.crc32(str(k).encode()) % 3 != 1]) for y in (0, 1)}
+    cov = {y: np.cov(v.T, bias=True) for y, v in learn.items()}
+    n = {y: len(v) for y, v in learn.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    log = {}
+    for y in (0, 1):
+        s = (1 - quality.POOLED - quality.DIAGONAL) * cov[y] + quality.POOLED * pooled + quality.DIAGONAL * (np.diag(np.diag(pooled)) + quality.FLOOR * np.eye(len(quality.NAMES)))
+        log[y] = {k: -0.5 * (v - learn[y].mean(axis=0)) @ np.linalg.solve(s, v - learn[y].mean(axis=0)) - 0.5 * np.linalg.slogdet(s)[1] + np.log(n[y]) for k, v in x.items()}
+    got = quality.op10_quality(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        k = r["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(np.clip(log[0][k] - log[1][k], -500, 500))), abs=1e-6)
+    held = [(r["predicted"], mark[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in mark]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_quality_of_long_texts_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "plain words here " * 50_000, 1), (2, "same", 1), (2, "same", 2), (3, None, 1), (4, "", 1)], "doc_id long, text string, stats int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    model, stats = quality.train(docs, labels)
+    got = sorted(((r["doc_id"], r["score"]) for r in quality.score(stats, model).collect()))
+    assert len(got) == 5 and got[1] == got[2] and got[3][1] == got[4][1]
+
+
 def test_licences(spark, empty):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/COPYING", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("a/b/c/f.txt", "nothing"), ("a/g.txt", "words"),

@@ -20,8 +20,8 @@ AUDIT, SEEN, MOST_SLICES = 256, 256, 64
 #: Recall that the audit must show, and attempts (each with twice the list and new trees) before all vectors are compared.
 RECALL, ATTEMPTS = 0.99, 3
 BITS = 20
-#: Centres of balls in a block when components are compared.
-CENTRES = 1024
+#: Vectors in a block where components are compared whole, and centres of balls where they are compared with each other.
+MEMBERS, CENTRES = 1024, 1024
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -182,7 +182,8 @@ def _links(nodes: DataFrame, graph: DataFrame, every: bool = False) -> tuple[Dat
     lost = materialize(_touching(nodes if every else nodes.join(ended, "id", "left_anti"), member), "touching")
     if not lost.isEmpty():
         member = materialize(components(edges.union(lost), "links"), "links")
-    dealt = blocks(member.join(nodes.select("id", "copies", "emb"), "id"), ["component"], "id", BLOCK)
+    rows = member.join(nodes.select("id", "copies", "emb", (F.col("dim").cast("long") * 8).alias("bytes")), "id")
+    dealt = blocks(rows, ["component"], "id", MEMBERS, size="bytes")
     counts = grouped(dealt.select("component", "_i", "_j", "_b", "id", "copies", "emb"), ["component", "_i", "_j"], _counts, "id bigint, n bigint, distinct bigint, root bigint")
     return counts.groupBy("id").agg(F.sum("n").alias("linked"), F.sum("distinct").alias("distinct")), member
 
@@ -215,8 +216,8 @@ def _true_links(nodes: DataFrame, asked: list) -> DataFrame:
     return materialize(truth, "truth")
 
 
-def _audit(nodes: DataFrame, linked_: DataFrame) -> float:
-    """Mean share, over audited vectors that have links, of their true links to other distinct vectors that the result has.
+def _audit(nodes: DataFrame, linked_: DataFrame) -> float | None:
+    """Mean share, over audited vectors that have links, of their true links to other distinct vectors that the result has; None if no vector has any.
 
     Slices of AUDIT vectors in hashed order are compared with all rows until SEEN of them have links or all vectors were
     asked. Copies do not count, and each vector counts alike, so neither a common vector nor a large group hides the rest.
@@ -233,14 +234,14 @@ def _audit(nodes: DataFrame, linked_: DataFrame) -> float:
             with_links, found = with_links + r[0], found + (r[1] or 0.0)
         done += step
         step = min(2 * step, MOST_SLICES)
-    return found / with_links if with_links else 1.0
+    return found / with_links if with_links else None
 
 
 def near(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) for each row of vectors (vec_id, embedding, label).
 
     Two vectors are linked if their labels are equal and the cosine, in double precision, is 0.98 or more. Equal vectors
-    of a label are one node with a count, so copies are never expanded. recall is the audit's.
+    of a label are one node with a count, so copies are never expanded. recall is the audit's, null where it found no link.
 
     Defined cases: a null, zero or empty vector, or one with a null or non-finite component, a null label: no links, its
     own component; vectors of different lengths do not link; a null vec_id has a null component and is not kept; rows
@@ -253,13 +254,14 @@ def near(vectors: DataFrame) -> DataFrame:
     same = materialize(rows.groupBy("label", "dim", "emb").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
     nodes = same.join(per.select("label", "dim", bits.alias("bits")), ["label", "dim"]).withColumnRenamed("node", "id")
     nodes = materialize(nodes, "nodes")
-    graph, recall = None, 0.0
+    graph: DataFrame | None = None
+    recall: float | None = 0.0
     for attempt in range(ATTEMPTS):
         graph = descend(nodes, LIST << attempt, attempt * TREES, graph)
         linked_, member = _links(nodes, graph)
         linked_ = materialize(linked_, "linked")
         recall = _audit(nodes, linked_)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
     else:
         linked_, member = _links(nodes, graph, every=True)
@@ -270,7 +272,7 @@ def near(vectors: DataFrame) -> DataFrame:
     mine = rows.join(found, ["label", "dim", "emb"]).groupBy("id").agg(F.min("_component").alias("_component"), F.max("_links").alias("_links"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(mine, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("_component", "vec_id")
-    return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(float(recall)).alias("recall"))
+    return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 def op1_neighbours(spark, sf_dir):
@@ -301,3 +303,15 @@ def brute(rows: list[tuple]) -> list[tuple[int, int, int, bool]]:
                 root[x] = k
                 todo += close[x]
     return [(k, len(close[k]), root[k], k == root[k]) for k in ids]
+
+
+#: Every pair of a label, then reachability. For tables whose ids are unique and not null, as the given ones.
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {SIMILARITY}),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT p.a, r.r FROM reach r JOIN pairs p ON p.b = r.id),
+least_ AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+links AS (SELECT a AS id, count(*) AS n FROM pairs GROUP BY a)
+SELECT o.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, c.component_id, o.vec_id = c.component_id AS kept, CASE WHEN EXISTS (SELECT 1 FROM pairs) THEN 1.0::DOUBLE END AS recall
+FROM embeddings o JOIN least_ c ON c.id = o.vec_id LEFT JOIN links l ON l.id = o.vec_id
+"""

@@ -129,7 +129,13 @@ def score(stats: DataFrame, model: dict) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[dict, DataFrame]:
-    """The model, and the stored statistics of docs (doc_id, held_out, stats). Rows with a null doc_id are not held out and match no label."""
+    """The model, and the stored statistics of docs (doc_id, held_out, stats).
+
+    Defined cases: null text counts as empty, which has statistics like any text; texts are measured whole, whatever their
+    length; rows with a null doc_id are not held out and match no label; rows that repeat a doc_id each teach with its
+    label and get scores of their own, equal texts equal ones; an empty table leaves a model that gives 0.5; columns other
+    than doc_id and text, whatever their names, are ignored.
+    """
     held = F.coalesce(crc_of("doc_id") % FOLDS == HELD, F.lit(False))
     stats = materialize(with_statistics(docs.select("doc_id", held.alias("held_out"), "text"), ["doc_id", "held_out"]), "quality")
     return fit(stats.where(~F.col("held_out")), labels), stats

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_file": tokenfile.op9_token_file,
     "op10_quality": quality.op10_quality,
 }
-ORACLES = {"op2_line_dedup": lines.ORACLE, "op5_source_mix": mix.ORACLE, "op8_jaccard": jaccard.ORACLE}
+ORACLES = {"op1_neighbours": neighbours.ORACLE, "op2_line_dedup": lines.ORACLE, "op5_source_mix": mix.ORACLE, "op8_jaccard": jaccard.ORACLE}
