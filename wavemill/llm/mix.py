@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import join_bounded, materialize, table, word_count
 
 #: Largest block in tokens, blocks of an average source, tokens of a shard, shards of a source at most.
-MAX_BLOCK, BLOCKS_PER_SOURCE, SHARD_TOKENS, MAX_SHARDS = 4096, 1000, 1 << 17, 4096
+MAX_BLOCK, BLOCKS_PER_SOURCE, SHARD_TOKENS, MAX_SHARDS = 4096, 1000, 1 << 17, 1 << 16
 SEED = "mix-1"
 
 
@@ -70,7 +70,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     """What the mix takes of each row of docs (doc_id, text, source).
 
     Sizes are words. A block has B words: 1/1000 of an average source, 1 to 4096. Every source is dealt by a seeded hash
-    to shards of about 2**17 words (4096 shards at most), so a hot source is never one task. Blocks go to sources by the
+    to shards of about 2**17 words (65,536 shards at most), so a hot source is never one task. Blocks go to sources by the
     highest quotients target/(2k+1), and a source's blocks to its shards by the highest quotients size/(2k+1). A shard
     lays its rows in seeded order end to end, over and over, and takes its first quota * B words, 3 times its size at
     most: `whole` full passes, then `part` words of the next.

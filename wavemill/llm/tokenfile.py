@@ -29,7 +29,9 @@ from .common import bounded_batches, fields, scratch_path, table
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE_TABLE, SKIPPABLE_KEYS, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
-END_ID, LEVEL, RANGES = 1, 3, 48
+END_ID, LEVEL = 1, 3
+#: Files at least, and stored bytes of the input that a file stands for.
+RANGES, RANGE_BYTES = 48, 64 << 20
 #: Words that a worker's cache of encoded words holds; beyond it the cache starts anew.
 CACHE_WORDS = 700_000
 _SPACE = "\t\n\v\f\r "
@@ -195,7 +197,13 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ranges: int = RANGES) -> list[dict]:
+def ranges_of(docs: DataFrame) -> int:
+    """Files for docs: as many as the optimizer's estimate of the input asks for, so tasks stay alike at every size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(100_000, max(RANGES, size // RANGE_BYTES))
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ranges: int | None = None) -> list[dict]:
     """Encodes and writes docs (doc_id, text) to `folder`, a URI that all executors share; returns a line for each file.
 
     Documents are range-partitioned and sorted by (doc_id, text), null ids first, so files and frames are in ascending
@@ -206,7 +214,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, ra
     bounded_batches(docs.sparkSession)
     place, base = _place(folder)
     place.create_dir(base, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(ranges or ranges_of(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
