@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 # Fixed values of the format.
@@ -51,15 +53,34 @@ class Reader:
     """Raises ValueError past the end."""
 
     def __init__(self, raw: bytes):
-        self.text = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.uint8).__add__(48).tobytes().decode("ascii")
+        self.bits = np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int64)
+        self.text = (self.bits + 48).astype(np.uint8).tobytes().decode("ascii")
         self.at = 0
 
+    @cached_property
+    def ones(self) -> list[int]:
+        """Place of the first one at or after each bit; the end where there is none."""
+        n = len(self.bits)
+        at = np.where(self.bits == 1, np.arange(n), n)
+        return np.minimum.accumulate(at[::-1])[::-1].tolist()
+
     def get(self, width: int) -> int:
         a, self.at = self.at, self.at + width
         if self.at > len(self.text):
             raise ValueError("bits end early")
         return int(self.text[a : self.at], 2) if width else 0
 
+    def fields(self, count: int, width: int) -> np.ndarray:
+        """`count` fields of one width, at most 62."""
+        a, self.at = self.at, self.at + count * width
+        if self.at > len(self.text):
+            raise ValueError("bits end early")
+        return self.bits[a : self.at].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64)[::-1])
+
+    def signed_fields(self, count: int, width: int) -> np.ndarray:
+        v = self.fields(count, width)
+        return np.where(v >> max(0, width - 1) & 1, v - (1 << width), v) if width else v
+
     def signed(self, width: int) -> int:
         v = self.get(width)
         return v - (1 << width) if width and v >> width - 1 else v
@@ -115,45 +136,75 @@ def _index_bits(index: int, before: int | None) -> int:
     return 9 if index == ESCAPE or abs(index - before) > 2 else (1, 3, 4)[abs(index - before)]
 
 
-def rice_encode(residual: np.ndarray) -> Writer:
-    """The cheapest partition size, and in each partition the cheapest code after the one before it."""
+def rice_plan(residual: np.ndarray) -> tuple[int, int, list[tuple[int, int]]]:
+    """(bits, number of the partition size, (index, escape width) of each partition) of the cheapest code.
+
+    Lengths under every index near the mean's are summed over blocks of 32 once; larger partitions add them up.
+    """
     z = zigzag(np.asarray(residual, np.int64))
-    best: tuple[int, list] | None = None
-    for number, size in enumerate(SIZES):
-        cost, before, parts = 3, None, []
-        for a in range(0, len(z), size):
-            part = z[a : a + size]
-            middle = 2 * max(0, (int(part.sum()) // len(part)).bit_length() - 1)
-            tried = [(int(_lengths(part, i).sum()) + _index_bits(i, before), i) for i in range(max(0, middle - 2), min(LAST_INDEX, middle + 3) + 1)]
-            width = int(part.max()).bit_length()
-            tried.append((6 + width * len(part) + _index_bits(ESCAPE, before), ESCAPE))
-            bits, index = min(tried)
-            cost += bits
-            parts.append((part, index, before, width))
+    blocks = -(-len(z) // SIZES[0])
+    at = np.arange(0, len(z), SIZES[0])
+    middle = 2 * max(0, (int(z.sum()) // max(1, len(z))).bit_length() - 1)
+    spread = 2 * max(0, (int(z.max(initial=0))).bit_length())
+    low = max(0, min(middle, LAST_INDEX) - 14)
+    tried = list(range(low, max(low, min(LAST_INDEX, middle + 10, spread + 1)) + 1))
+    cost = np.stack([np.add.reduceat(np.minimum(_lengths(z, i), 1 << 40), at) for i in tried], axis=1) if blocks else np.zeros((0, len(tried)), np.int64)
+    peak, size = np.maximum.reduceat(z, at) if blocks else z, np.full(blocks, SIZES[0], np.int64)
+    if blocks:
+        size[-1] = len(z) - SIZES[0] * (blocks - 1)
+    best = None
+    for number in range(len(SIZES)):
+        if number:
+            if len(cost) == 1:
+                break
+            odd = len(cost) & 1
+            cost, peak, size = (np.concatenate([v, np.zeros((1, *v.shape[1:]), v.dtype)]) if odd else v for v in (cost, peak, size))
+            cost, peak, size = cost[::2] + cost[1::2], np.maximum(peak[::2], peak[1::2]), size[::2] + size[1::2]
+        pick = cost.argmin(axis=1) if blocks else cost
+        bits, before, parts = 3, None, []
+        for row, i, top, n in zip(cost, pick.tolist() if blocks else [], peak.tolist(), size.tolist(), strict=True):
+            index, width, own = tried[i], top.bit_length(), int(row[i])
+            if before is not None and before != index and tried[0] <= before <= tried[-1]:
+                same = int(row[before - tried[0]])
+                if same + 1 <= own + _index_bits(index, before):
+                    index, own = before, same
+            raw = 6 + width * n
+            if width <= WIDEST and raw + _index_bits(ESCAPE, before) < own + _index_bits(index, before):
+                index, own = ESCAPE, raw
+            bits += own + _index_bits(index, before)
+            parts.append((index, width))
             before = before if index == ESCAPE else index
-        if best is None or cost < best[0]:
-            best = (cost, [(number,), *parts])
-        if size >= len(z):
-            break
-    out = Writer()
-    out.put(best[1][0][0], 3)
-    for part, index, before, width in best[1][1:]:
+        if best is None or bits < best[0]:
+            best = (bits, number, parts)
+    return best
+
+
+def rice_encode(residual: np.ndarray, plan: tuple | None = None) -> Writer:
+    z = zigzag(np.asarray(residual, np.int64))
+    _, number, parts = plan or rice_plan(residual)
+    out, before = Writer(), None
+    out.put(number, 3)
+    for at, (index, width) in enumerate(parts):
+        part = z[at * SIZES[number] : (at + 1) * SIZES[number]]
         _put_index(out, index, before)
         if index == ESCAPE:
             out.put(width, 6)
             out.put(part, width)
         else:
             _put_codes(out, part, index)
+            before = index
     return out
 
 
 def rice_decode(r: Reader, n: int) -> np.ndarray:
+    """Only the places of the codes are found one by one; their quotients and low bits come out a partition at a time."""
     number = r.get(3)
     if number >= len(SIZES):
         raise ValueError("invalid partition size")
-    z, before = [], None
-    while len(z) < n:
-        count = min(SIZES[number], n - len(z))
+    z, done, before, one, end = [np.zeros(0, np.int64)], 0, None, r.ones, len(r.text)
+    while done < n:
+        count = min(SIZES[number], n - done)
+        done += count
         if before is None:
             index = r.get(6)
         elif not r.get(1):
@@ -168,15 +219,32 @@ def rice_decode(r: Reader, n: int) -> np.ndarray:
             width = r.get(6)
             if width > WIDEST:
                 raise ValueError("escape too wide")
-            z += [r.get(width) for _ in range(count)]
+            z.append(r.fields(count, width))
             continue
         if not 0 <= index <= LAST_INDEX:
             raise ValueError("invalid parameter")
-        before, k = index, index >> 1
+        before, k, odd = index, index >> 1, index & 1
+        starts, firsts, at = [], [], r.at
         for _ in range(count):
-            q = r.unary()
-            if index & 1:
-                z.append(r.get(k + 1) if q == 0 else (q + 1 << k) + r.get(k))
-            else:
-                z.append((q << k) + r.get(k))
-    return unzigzag(np.array(z, np.int64))
+            if at >= end:
+                raise ValueError("bits end early")
+            first = one[at]
+            starts.append(at)
+            firsts.append(first)
+            at = first + 1 + k + (odd and first == at)
+        if at > end or firsts[-1] >= end:
+            raise ValueError("bits end early")
+        r.at = at
+        first = np.array(firsts, np.int64)
+        q = first - np.array(starts, np.int64)
+        if q.max() > LONGEST:
+            raise ValueError("unary code too long")
+        low = np.zeros(count, np.int64)
+        for j in range(k):
+            low = low << 1 | r.bits[first + 1 + j]
+        if odd:
+            more = r.bits[np.minimum(first + 1 + k, end - 1)]
+            z.append(np.where(q == 0, low << 1 | more, (q + 1 << k) + low))
+        else:
+            z.append((q << k) + low)
+    return unzigzag(np.concatenate(z))
