@@ -126,7 +126,7 @@ def test_windows():
 
 def test_quantised_error_is_fed_back():
     q, shift = predict.quantise(np.array([0.3, 0.3, 0.3, 0.3]), 4)
-    assert shift == 3 and abs(q.sum() - 0.3 * 4 * 8) <= 0.5
+    assert shift == 4 and abs(q.sum() - 0.3 * 4 * 16) <= 0.5
 
 
 def test_hostile_payloads_raise_only_value_errors():
