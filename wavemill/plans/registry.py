@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import codec, parity
+from . import signals
 from .views import duckdb, run
 
 _Z = "CASE WHEN {e} >= 0 THEN 2 * {e} ELSE -2 * {e} - 1 END"
@@ -152,3 +153,5 @@ def parity_repair(spark, sf_dir):
 _SAMPLES = duckdb("SELECT t, CAST(0 AS INT) AS channel, l AS x FROM {sig2} UNION ALL SELECT t, CAST(1 AS INT), r FROM {sig2}")
 QUERIES |= {"sq15_chunk_round_trip": chunk_round_trip, "sq17_parity_repair": parity_repair}
 ORACLES |= {"sq15_chunk_round_trip": _SAMPLES, "sq17_parity_repair": _SAMPLES}
+QUERIES |= signals.QUERIES
+ORACLES |= signals.ORACLES
