@@ -5,10 +5,11 @@ from __future__ import annotations
 import gc
 import heapq
 import itertools
+import math
+import operator
 import re
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -22,10 +23,13 @@ from .common import bounded_batches, table
 SPACE = "▁"
 #: Segmentations of a text that are returned.
 BEST = 4
-#: Words that a worker keeps, and slots of the marks that a word was met before: only words met twice are kept.
-CACHE, MARKS = 250_000, 1 << 22
+#: Words whose losses a worker keeps, and words whose lists of segmentations it keeps.
+CACHE, LISTS = 500_000, 30_000
+#: Rank sum up to which departures from a word's best segmentation are found by look-up.
+USUAL = 36
 #: Cost of a character without a piece, in a departure from the model's own segmentation; it is written as its bytes.
 UNKNOWN = 2.0
+_NEVER, _EVER, _place = -math.inf, math.inf, operator.itemgetter(0)
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -41,7 +45,7 @@ class Pieces:
 
     def __init__(self, path: str | None = None, scores: dict[str, float] | None = None):
         """From a model file, or from pieces and scores (ids in order), as tests do."""
-        self.byte, self.sp = {}, None
+        self.byte, self.sp, self.size, self.byte_ids = {}, None, [], set()
         if path is not None:
             from sentencepiece import SentencePieceProcessor
 
@@ -49,11 +53,15 @@ class Pieces:
             names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
             usable = [i for i in range(len(names)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
             self.byte = {int(names[i][3:5], 16): i for i in range(len(names)) if sp.is_byte(i)}
+            self.value = {i: b for b, i in self.byte.items()}
+            self.byte_ids = set(self.value)
             rank = {i: r for r, i in enumerate(sorted(usable, key=lambda i: (-sp.get_score(i), i)))}
             self.score = {names[i]: -1.0 - rank[i] / len(names) for i in usable}
+            rank_of = {names[i]: r for i, r in rank.items()}
             self.id = {names[i]: i for i in usable}
             self.unk, self.unknown = sp.unk_id(), -UNKNOWN
-            self.lead = {i: 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4 for b, i in self.byte.items()}
+            # characters that an id stands for: a byte that continues a character adds none
+            self.size = [0 if 0x80 <= self.value.get(i, 0) < 0xC0 else 1 if i in self.value or i == sp.unk_id() else len(names[i]) for i in range(len(names))]
         else:
             names, self.score = list(scores), dict(scores)
             self.id, self.unk = {p: i for i, p in enumerate(names)}, len(names)
@@ -66,47 +74,52 @@ class Pieces:
         self.longest = max(map(len, self.score), default=1)
         self.single = {p for p in self.score if len(p) == 1}
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.known: dict[str, tuple] = {}
+        self.usual = {a + b for (a, x), (b, y) in itertools.product(list(rank_of.items())[: USUAL + 1], repeat=2) if x + y <= USUAL} if path else set()
+        self.bound = 2 + (USUAL + 0.5) / len(names)
+        # ids of bytes and those that two usual pieces make up; pairs of ids (as one number) that one piece, or two usual ones, make up
+        self.hot = self.byte_ids | {self.id[p] for p in self.usual if p in self.id}
+        self.pairs = {self.id[p[:k]] * len(names) + self.id[p[k:]] for p in (*self.score, *self.usual) for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id} if path else set()
+        self.kept: dict[str, float] = {}  # slight losses
+        self.whole: dict[str, float] = {}  # losses
         self.lists: dict[tuple[str, int], list] = {}
-        self.met = bytearray(MARKS)
 
-    def own(self, chunk: str) -> tuple[list[int], dict[int, int]]:
-        """Ids of the library's segmentation of a chunk, and the start of each of its arcs by its end; none without a library."""
+    def own(self, chunk: str) -> list[int]:
+        """Ids of the library's segmentation of a chunk; none without a library."""
         if self.sp is None:
-            return [], {}
-        ids = self.sp.encode(chunk[1:]) if len(chunk) > 1 else [self.id[chunk]] if chunk in self.id else []
-        on, at, i = {}, 0, 0
-        while i < len(ids):
-            if ids[i] in self.lead:
-                i, end = i + self.lead[ids[i]], at + 1
-            else:
-                end = at + (1 if ids[i] == self.unk else len(self.name[ids[i]]))
-                i += 1
-            on[end] = at
-            at = end
-        if at != len(chunk):
+            return []
+        return self.sp.encode(chunk[1:]) if len(chunk) > 1 else [self.id[chunk]]
+
+    def starts(self, chunk: str, ids: Sequence[int]) -> list[int]:
+        """For each place, where the library's arc that ends there starts; -1 where none does."""
+        on, at = [-1] * (len(chunk) + 1), 0
+        for n in map(self.size.__getitem__, ids):
+            if n:
+                at += n
+                if at > len(chunk):
+                    break
+                on[at] = at - n
+        if ids and at != len(chunk):
             raise ValueError("the model normalises text; its pieces are not parts of it")
-        return ids, on
+        return on
 
-    def forward(self, chunk: str, on: dict[int, int]) -> tuple[array, array, array]:
+    def forward(self, chunk: str, on: list[int]) -> tuple[list[float], list[int], list[float]]:
         """For each place: the best sum of the arcs up to it, where its best arc starts, and how much its second arc loses."""
         n = len(chunk)
-        ahead, start, gap = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("d", [np.inf]) * (n + 1)
+        ahead, start, gap = [_NEVER] * (n + 1), [0] * (n + 1), [_EVER] * (n + 1)
         ahead[0] = 0.0
         arcs = self.find.iter(chunk)
         if not self.single.issuperset(chunk):
-            bare = ((i, (0, self.unknown)) for i, c in enumerate(chunk) if c not in self.single)
-            arcs = heapq.merge(arcs, bare, key=lambda a: a[0])
-        get = on.get
+            arcs = [*arcs, *((i, (0, self.unknown)) for i, c in enumerate(chunk) if c not in self.single)]
+            arcs.sort(key=_place)
         for last, (more, s) in arcs:
             i = last - more
             last += 1
-            s = ahead[i] if get(last) == i else ahead[i] + s
-            lost = ahead[last] - s
-            if lost < 0:
-                gap[last], ahead[last], start[last] = -lost, s, i
-            elif lost < gap[last]:
-                gap[last] = lost
+            s = ahead[i] if on[last] == i else ahead[i] + s
+            best = ahead[last]
+            if s > best:
+                gap[last], ahead[last], start[last] = s - best, s, i
+            elif best - s < gap[last]:
+                gap[last] = best - s
         return ahead, start, gap
 
     def nbest(self, chunk: str, most: int) -> list[tuple[float, list[tuple[int, int]]]]:
@@ -117,7 +130,7 @@ class Pieces:
         others beat is never opened, and is not even queued. Arcs are found where the search comes to a place, so a long
         chunk needs no list of them.
         """
-        on = self.own(chunk)[1]
+        on = self.starts(chunk, self.own(chunk))
         ahead, n = self.forward(chunk, on)[0], len(chunk)
         order = 0
         queue: list[tuple] = [(-ahead[n], 0, n, 0.0, None)]
@@ -131,7 +144,7 @@ class Pieces:
                     s = self.score.get(chunk[i:at], self.unknown if i == at - 1 else None)
                     if s is None:
                         continue
-                    s = 0.0 if on.get(at) == i else s
+                    s = 0.0 if on[at] == i else s
                     reach = s + ahead[i]
                     if best is None or reach > best[0]:
                         best, other = (reach, i, s), best
@@ -157,28 +170,61 @@ class Pieces:
     def ids(self, chunk: str, cuts: list[tuple[int, int]]) -> tuple[int, ...]:
         return tuple(itertools.chain.from_iterable([self.ids_of(chunk[a:b]) for a, b in cuts]))
 
-    def chunk(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
-        """(best score, its ids, loss of the next) of one word: the next segmentation leaves the best one at the place with the least gap. Words met twice are kept."""
-        ids, on = self.own(chunk)
-        ahead, start, gap = self.forward(chunk, on)
-        at, loss, cuts = len(chunk), np.inf, []
+    def loss(self, chunk: str, ids: Sequence[int]) -> float:
+        """How much the second segmentation of a word loses: it leaves the best one at the place with the least gap."""
+        on = self.starts(chunk, ids)
+        return min([g for g, i in zip(self.forward(chunk, on)[2], on, strict=True) if i >= 0])
+
+    def slight(self, chunk: str, ids: Sequence[int]) -> float:
+        """The loss of a word if it is at most `bound`, else infinity.
+
+        Such a departure is one arc over several of the library's, or two of the most usual pieces: between two places of
+        the library's path, either is a look-up. Only words that have one are searched.
+        """
+        if self.hot.isdisjoint(ids):
+            n, size = len(ids), len(self.name)
+            if n == 1 or n == 2 and ids[0] * size + ids[1] not in self.pairs:
+                return _EVER
+            if n > 2 and self.pairs.isdisjoint([a * size + b for a, b in itertools.pairwise(ids)]):
+                ends = [0, *itertools.accumulate([self.size[i] for i in ids])]
+                parts = [chunk[a:b] for i, a in enumerate(ends) for b in ends[i + 3 : i + 1 + self.longest]]
+                if self.score.keys().isdisjoint(parts) and self.usual.isdisjoint(parts):
+                    return _EVER
+        loss = self.loss(chunk, ids)
+        return loss if loss <= self.bound else _EVER
+
+    def scored(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids, loss of the next) of the best segmentation of one word by bare scores."""
+        ahead, start, gap = self.forward(chunk, [-1] * (len(chunk) + 1))
+        at, loss, cuts = len(chunk), _EVER, []
         while at:
             loss = min(loss, gap[at])
             cuts.append((start[at], at))
             at = start[at]
-        got = (ahead[len(chunk)], tuple(ids) if on else self.ids(chunk, cuts[::-1]), loss)
-        slot = hash(chunk) & (MARKS - 1)
-        if not self.met[slot]:
-            self.met[slot] = 1
-        elif len(self.known) < CACHE:
-            self.known[chunk] = got
-        return got
+        return ahead[-1], self.ids(chunk, cuts[::-1]), loss
+
+    def losses(self, chunks: list[str], ids: list[int], after: dict[int, int], kept: dict[str, float], of: Callable[[str, Sequence[int]], float]) -> list[float]:
+        """of(word, its ids) of every word of a text, which has these ids, so many up to each place; kept where there is room."""
+        out = list(map(kept.get, chunks))
+        if None in out:
+            b = 0
+            for k, c in enumerate(chunks):
+                a, b = b, b + len(c)
+                if out[k] is None:
+                    out[k] = of(c, ids[after[a] : after[b]])
+                    if len(kept) < CACHE:
+                        kept[c] = out[k]
+        return out
+
+    def places(self, ids: list[int]) -> dict[int, int]:
+        """How many ids there are up to each place that an arc of the library's segmentation ends at."""
+        return {0: 0} | dict(zip(itertools.accumulate(map(self.size.__getitem__, ids)), itertools.count(1), strict=False))
 
     def options(self, chunk: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
         got = self.lists.get((chunk, most))
         if got is None:
             got = [(s, self.ids(chunk, cuts)) for s, cuts in self.nbest(chunk, most)]
-            if len(self.lists) < CACHE // 8 and len(chunk) < 100:
+            if len(self.lists) < LISTS and len(chunk) < 100:
                 self.lists[chunk, most] = got
         return got
 
@@ -188,20 +234,28 @@ class Pieces:
             return [(0.0, [])]
         whole = SPACE + text.replace(" ", SPACE)
         chunks = _CHUNK.findall(whole) if self.by_word else [whole]
-        words = list(map(self.known.get, chunks))
-        if None in words:
-            words = [self.chunk(c) if w is None else w for c, w in zip(chunks, words, strict=True)]
-        base = sum([w[0] for w in words])
-        out = [(base, list(itertools.chain.from_iterable([w[1] for w in words])))]
+        if self.sp is None:
+            words = [self.scored(c) for c in chunks]
+            base, first, loss = sum([w[0] for w in words]), list(itertools.chain.from_iterable([w[1] for w in words])), [w[2] for w in words]
+        else:
+            base, first = 0.0, self.sp.encode(text)
+            after = self.places(first)
+            loss = self.losses(chunks, first, after, self.kept, self.slight) if most > 1 else []
+            if len(loss) - loss.count(_EVER) < most - 1:  # too few slight departures: all are weighed
+                loss = self.losses(chunks, first, after, self.whole, self.loss)
+        out = [(base, first)]
         if most == 1:
             return out
-        first = out[0][1]
-        starts = [0, *itertools.accumulate([len(w[1]) for w in words])]
-        places, loss = [], [w[2] for w in words]
-        while len(places) < most - 1 and (least := min(loss)) < np.inf:
+        places = []
+        while len(places) < most - 1 and (least := min(loss)) < _EVER:
             places.append(loss.index(least))
-            loss[places[-1]] = np.inf
+            loss[places[-1]] = _EVER
         places.sort()
+        if self.sp is None:
+            starts = [0, *itertools.accumulate([len(w[1]) for w in words])]
+        else:
+            ends = [0, *itertools.accumulate(map(len, chunks))]
+            starts = {k + d: after[ends[k + d]] for k in places for d in (0, 1)}
         options = [self.options(chunks[k], most) for k in places]
         queue, seen = [(0.0, (0,) * len(places))], set()
         while queue and len(out) < most:
@@ -213,9 +267,9 @@ class Pieces:
                 ids, at = [], 0
                 for k, own, x in zip(places, options, pick, strict=True):
                     if x:
-                        ids += [first[starts[at] : starts[k]], own[x][1]]
-                        at = k + 1
-                out.append((base - lost, list(itertools.chain(*ids, first[starts[at] :]))))
+                        ids += [first[at : starts[k]], own[x][1]]
+                        at = starts[k + 1]
+                out.append((base - lost, list(itertools.chain(*ids, first[at:]))))
             for x, own in enumerate(options):
                 if pick[x] + 1 < len(own):
                     step = own[pick[x]][0] - own[pick[x] + 1][0]
