@@ -35,12 +35,13 @@ def _place(docs: DataFrame) -> list[Column]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, d, line, s): trimmed lines with any text, numbered from 0."""
-    rows = docs.select(*_place(docs), F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    rows = docs.select(*_place(docs), F.split("text", "\n").alias("parts"))  # the hash is taken once a text, not once a line
+    rows = rows.select("doc", "d", F.posexplode("parts").alias("line", "s"))
     return rows.withColumn("s", F.trim("s")).where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _keys(s: Column) -> Column:
-    """A key for each piece that an edit could be in: what stands before and after it. Bounds depend on the length of the shorter line of a pair, in steps of 4 * PIECES, so a line that could be the longer one of a pair at a step has both sets."""
+    """A key for each piece that an edit could be in: what stands before and after it. Bounds depend on the length of the shorter line of a pair, in steps of 4 * PIECES, so a line that could be the longer one of a pair at a step has both sets. Only of use for lines of LEAST characters or more."""
     n = F.length(s)
 
     def of(step: Column) -> list[Column]:
@@ -49,8 +50,7 @@ def _keys(s: Column) -> Column:
 
     step = F.floor(n / (4 * PIECES)).cast("long")
     edge = (n % (4 * PIECES) == 0) & (n > LEAST)
-    keys = F.when(edge, F.concat(F.array(*of(step)), F.array(*of(step - 1)))).otherwise(F.array(*of(step)))
-    return F.when(n >= LEAST, keys)  # shorter lines have none
+    return F.when(edge, F.concat(F.array(*of(step)), F.array(*of(step - 1)))).otherwise(F.array(*of(step)))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -89,10 +89,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     Distinct lines are hashed once for each piece that an edit could be in; only those whose key another distinct line
     has are expanded to their deletion variants. Lines that meet in a variant are tested by edit distance on their texts.
     """
-    every = lines_of(docs).select("doc", "d", "line", F.xxhash64(F.lit(1), "s").alias("h"), F.xxhash64(F.lit(2), "s").alias("g"), _keys(F.col("s")).alias("keys"))
-    one = every.groupBy("h", "g").agg(F.min(F.struct("doc", "d", "line")).alias("at"), F.first(F.transform("keys", lambda k: k["key"])).alias("ks"))
-    one = materialize(one.select("h", "g", "at.doc", "at.d", "at.line", "ks"), "lines")
-    keyed = one.select("doc", "d", "line", F.xxhash64("doc", "d", "line").alias("z"), F.explode("ks").alias("key"))
+    every = lines_of(docs).select("doc", "d", "line", F.xxhash64(F.lit(1), "s").alias("h"), F.xxhash64(F.lit(2), "s").alias("g"), _keys(F.col("s")).alias("keys"), (F.length("s") >= LEAST).alias("open"))
+    one = every.groupBy("h", "g").agg(F.min(F.struct("doc", "d", "line")).alias("at"), F.first(F.transform("keys", lambda k: k["key"])).alias("ks"), F.first("open").alias("open"))
+    one = materialize(one.select("h", "g", "at.doc", "at.d", "at.line", "ks", "open"), "lines")
+    keyed = one.where("open").select("doc", "d", "line", F.xxhash64("doc", "d", "line").alias("z"), F.explode("ks").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("z").alias("a"), F.max("z").alias("b")).where("a <> b").select("key")
     live = keyed.join(shared.hint("merge"), "key", "left_semi").groupBy("doc", "d", "line").agg(F.collect_list("key").alias("open"))
     live = materialize(live.groupBy("doc", "d").agg(F.collect_list(F.struct("line", "open")).alias("open")), "open-lines")
