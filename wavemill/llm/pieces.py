@@ -9,6 +9,7 @@ import math
 import operator
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import ahocorasick
@@ -203,23 +204,17 @@ class Pieces:
             at = start[at]
         return ahead[-1], self.ids(chunk, cuts[::-1]), loss
 
-    def losses(self, chunks: list[str], ids: list[int], after: dict[int, int], kept: dict[str, float], of: Callable[[str, Sequence[int]], float]) -> list[float]:
-        """of(word, its ids) of every word of a text, which has these ids, so many up to each place; kept where there is room."""
-        out = list(map(kept.get, chunks))
-        if None in out:
-            b = 0
-            for k, c in enumerate(chunks):
-                a, b = b, b + len(c)
-                if out[k] is None:
-                    out[k] = of(c, ids[after[a] : after[b]])
-                    if len(kept) < CACHE:
-                        kept[c] = out[k]
+    def losses(self, chunks: list[str], ends: list[int], ids: list[int], after: list[int], kept: dict[str, float], of: Callable[[str, Sequence[int]], float]) -> list[float]:
+        """of(word, its ids) of every word of a text; kept where there is room. ends: the place after each word; after: that after each id."""
+        out, k = list(map(kept.get, chunks)), -1
+        for _ in range(out.count(None)):
+            k = out.index(None, k + 1)
+            c, end = chunks[k], ends[k]
+            out[k] = got = of(c, ids[bisect_right(after, end - len(c)) : bisect_right(after, end)])
+            if len(kept) < CACHE:
+                kept[c] = got
         return out
 
-    def places(self, ids: list[int]) -> dict[int, int]:
-        """How many ids there are up to each place that an arc of the library's segmentation ends at."""
-        return {0: 0} | dict(zip(itertools.accumulate(map(self.size.__getitem__, ids)), itertools.count(1), strict=False))
-
     def options(self, chunk: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
         got = self.lists.get((chunk, most))
         if got is None:
@@ -239,10 +234,10 @@ class Pieces:
             base, first, loss = sum([w[0] for w in words]), list(itertools.chain.from_iterable([w[1] for w in words])), [w[2] for w in words]
         else:
             base, first = 0.0, self.sp.encode(text)
-            after = self.places(first)
-            loss = self.losses(chunks, first, after, self.kept, self.slight) if most > 1 else []
+            ends, after = list(itertools.accumulate(map(len, chunks))), list(itertools.accumulate(map(self.size.__getitem__, first)))
+            loss = self.losses(chunks, ends, first, after, self.kept, self.slight) if most > 1 else []
             if len(loss) - loss.count(_EVER) < most - 1:  # too few slight departures: all are weighed
-                loss = self.losses(chunks, first, after, self.whole, self.loss)
+                loss = self.losses(chunks, ends, first, after, self.whole, self.loss)
         out = [(base, first)]
         if most == 1:
             return out
@@ -254,8 +249,7 @@ class Pieces:
         if self.sp is None:
             starts = [0, *itertools.accumulate([len(w[1]) for w in words])]
         else:
-            ends = [0, *itertools.accumulate(map(len, chunks))]
-            starts = {k + d: after[ends[k + d]] for k in places for d in (0, 1)}
+            starts = {k + d: bisect_right(after, ends[k] - (0 if d else len(chunks[k]))) for k in places for d in (0, 1)}
         options = [self.options(chunks[k], most) for k in places]
         queue, seen = [(0.0, (0,) * len(places))], set()
         while queue and len(out) < most:
