@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.functions import integer
+from wavemill.functions import floats, integer
 from wavemill.sources import wav
 from wavemill.streaming.residuals import write_residuals
 
@@ -22,6 +22,37 @@ def test_wav_round_trip(spark, tmp_path, bits, channels):
     assert [r[0] for r in back] == x.tolist()
 
 
+def test_float_files_and_grid(spark, tmp_path):
+    spark.dataSource.register(wav.PcmWav)
+    x = np.round(8000 * np.sin(0.02 * np.arange(2000))).astype(np.float32) / np.float32(32768)
+    x[[10, 20, 30, 40]] = [np.nan, np.inf, -np.inf, -0.0]
+    bits = x.view(np.uint32).astype(np.int64)
+    rows = spark.createDataFrame([("a", 0, int(t), int(b)) for t, b in enumerate(bits)], "path string, channel int, t long, x long")
+    path = str(tmp_path / "f.wav")
+    rows.repartitionByRange(3, "t").sortWithinPartitions("t", "channel").write.format("pcmwav").option("bits", 32).option("float", "true").mode("append").save(path)
+    assert wav.layout(path).is_float
+    back = spark.read.format("pcmwav").load(path)
+    assert [r["x"] for r in back.orderBy("t").collect()] == bits.tolist()
+    samples = back.select(F.lit("a").alias("stream_id"), "channel", "t", F.col("x").alias("bits"))
+    mapped, info = floats.to_grid(samples)
+    assert [tuple(r) for r in info.select("scale", "bits").collect()] == [(15, 16)]
+    off = mapped.where("exception is not null").select("stream_id", "channel", "t", F.col("exception").alias("bits"))
+    assert sorted(r["t"] for r in off.collect()) == [10, 20, 30, 40]
+    again = floats.from_grid(mapped, info, off).orderBy("t").collect()
+    assert [r["bits"] for r in again] == bits.tolist()
+    assert sorted((r["t"]) for r in floats.rebased(off, 15, 20).collect()) == [5, 15]
+
+
+@pytest.mark.parametrize("value,scale,k", [(0.0, 0, 0), (1.5, 1, 3), (-0.375, 3, -3), (3e9, 0, None), (2.0**-31, 31, 1), (2.0**-40, 40, None), (1e-45, 149, None), (8388607.5, 1, 16777215)])
+def test_float_scales(spark, value, scale, k):
+    bits = int(np.float32(value).view(np.uint32))
+    c = F.lit(bits).cast("long")
+    r = spark.range(1).select(floats.least_scale(c).alias("s"), floats.grid_value(c, F.lit(min(scale, 31)).cast("long")).alias("k")).first()
+    assert (r["s"], r["k"]) == (scale, k)
+    if k is not None:
+        assert spark.range(1).select(floats.pattern(F.lit(k).cast("long"), F.lit(scale).cast("long")).alias("b")).first()["b"] == bits
+
+
 @pytest.mark.parametrize("bits,values,raw", [(16, [1, -1], "0100ffff"), (24, [-8388608, 8388607], "000080ffff7f"), (8, [-128, 127], "00ff")])
 def test_known_packings(bits, values, raw):
     assert wav.pack(np.array(values), bits).hex() == raw

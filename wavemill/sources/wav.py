@@ -6,16 +6,17 @@ by chunk: tasks write the interleaved bytes of their rows, and the commit puts a
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from . import files
+
 SCHEMA = "path string, channel int, t bigint, x bigint"
 #: Frames of a partition and of a batch.
 SPLIT, BATCH = 1 << 22, 1 << 16
@@ -39,8 +40,8 @@ class Layout:
 
 def layout(path: str) -> Layout:
     """Header of a file; raises ValueError if it isn't a WAV of 8, 16, 24 or 32 bits, or ends within a frame. A data size of 0, 0xFFFFFFFF or past the end means up to the end."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    with files.open_input(path) as f:
+        size = f.size()
         head = f.read(12)
         if len(head) < 12 or head[:4] != b"RIFF" or head[8:] != b"WAVE":
             raise ValueError(f"{path}: not a WAV file")
@@ -57,7 +58,7 @@ def layout(path: str) -> Layout:
                 if tag not in (PCM, FLOAT) or bits not in (8, 16, 24, 32) or not channels or tag == FLOAT and bits != 32:
                     raise ValueError(f"{path}: unsupported sample format")
                 form = (channels, rate, bits, tag == FLOAT)
-                f.seek(n & 1, 1)
+                f.seek(f.tell() + (n & 1))
             elif kind == b"data":
                 if form is None:
                     raise ValueError(f"{path}: data before its format")
@@ -68,7 +69,7 @@ def layout(path: str) -> Layout:
                     raise ValueError(f"{path}: ends within a frame")
                 return Layout(*form, at, n // width)
             else:
-                f.seek(n + (n & 1), 1)
+                f.seek(min(size, f.tell() + n + (n & 1)))
     raise ValueError(f"{path}: no sample data")
 
 
@@ -93,9 +94,10 @@ def pack(x: np.ndarray, bits: int) -> bytes:
     return x.astype({16: "<i2", 32: "<i4"}[bits]).tobytes()
 
 
-def header(channels: int, rate: int, bits: int, data: int) -> bytes:
+def header(channels: int, rate: int, bits: int, data: int, is_float: bool = False) -> bytes:
+    """Sizes that pass 32 bits are written as unknown."""
     size = lambda n: min(n, UNKNOWN)
-    return b"RIFF" + struct.pack("<I", size(36 + data + (data & 1))) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, PCM, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits) + b"data" + struct.pack("<I", size(data))
+    return b"RIFF" + struct.pack("<I", size(36 + data + (data & 1))) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, FLOAT if is_float else PCM, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits) + b"data" + struct.pack("<I", size(data))
 
 
 class _Range(InputPartition):
@@ -108,7 +110,7 @@ class _Reader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(os.path.join(self.path, n) for n in os.listdir(self.path)) if os.path.isdir(self.path) else [self.path]
+        names = files.listing(self.path)
         out: list[InputPartition] = []
         for name in names:
             n = layout(name).frames
@@ -119,7 +121,7 @@ class _Reader(DataSourceReader):
         if not partition.frames:
             return
         form = layout(partition.path)
-        with open(partition.path, "rb") as f:
+        with files.open_input(partition.path) as f:
             f.seek(form.offset + partition.first * form.frame_bytes)
             for at in range(0, partition.frames, BATCH):
                 n = min(BATCH, partition.frames - at)
@@ -136,55 +138,60 @@ class _Part(WriterCommitMessage):
     frames: int
 
 
-class _Writer(DataSourceWriter):
-    """Rows (channel, t, x), sorted by (t, channel) within partitions whose ranges of t don't overlap, as repartitionByRange("t") gives."""
+class _Writer(DataSourceArrowWriter):
+    """Rows (channel, t, x), sorted by (t, channel) within partitions whose ranges of t don't overlap, as repartitionByRange("t") gives. Parts lie beside the file, in whatever store it is in."""
 
     def __init__(self, options: dict):
         self.path, self.channels, self.rate, self.bits = options["path"], int(options.get("channels", 1)), int(options.get("rate", 44100)), int(options.get("bits", 16))
+        self.is_float = options.get("float", "false").lower() == "true"
+        if self.is_float and self.bits != 32:
+            raise ValueError("float samples have 32 bits")
 
-    def write(self, iterator) -> _Part:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Part:
         from pyspark import TaskContext
 
-        name, first, count, held = f"{self.path}.part-{TaskContext.get().taskAttemptId()}", None, 0, []
-        with open(name, "wb") as f:
-            for row in iterator:
-                if first is None:
-                    first = row["t"]
-                if row["t"] != first + count // self.channels or row["channel"] != count % self.channels:
+        name, first, count = f"{self.path}.part-{TaskContext.get().taskAttemptId()}", None, 0
+        with files.open_output(name) as f:
+            for b in iterator:
+                if not b.num_rows:
+                    continue
+                channel, t, x = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("channel", "t", "x"))
+                first = int(t[0]) if first is None else first
+                place = count + np.arange(b.num_rows)
+                if (t != first + place // self.channels).any() or (channel != place % self.channels).any():
                     raise ValueError("rows must be dense and sorted by (t, channel)")
-                held.append(row["x"])
-                count += 1
-                if len(held) >= BATCH * self.channels:
-                    f.write(pack(np.array(held, np.int64), self.bits))
-                    held = []
-            f.write(pack(np.array(held, np.int64), self.bits))
+                if self.is_float and (x.min() < 0 or x.max() > UNKNOWN):
+                    raise ValueError("not patterns of 32 bits")
+                f.write(x.astype("<u4").tobytes() if self.is_float else pack(x, self.bits))
+                count += b.num_rows
         if count % self.channels:
             raise ValueError("a frame lacks channels")
         return _Part(name, -1 if first is None else first, count // self.channels)
 
     def commit(self, messages: list[_Part]) -> None:
+        """One file needs one writer: the parts are streamed after the header, 4 MB at a time."""
         parts = sorted((m for m in messages if m.frames), key=lambda m: m.first)
         if any(a.first + a.frames != b.first for a, b in zip(parts, parts[1:], strict=False)):
             raise ValueError("partitions overlap or leave a gap")
         data = sum(m.frames for m in parts) * self.channels * self.bits // 8
-        with open(f"{self.path}.tmp", "wb") as f:
-            f.write(header(self.channels, self.rate, self.bits, data))
+        with files.open_output(f"{self.path}.tmp") as f:
+            f.write(header(self.channels, self.rate, self.bits, data, self.is_float))
             for m in parts:
-                with open(m.name, "rb") as part:
+                with files.open_input(m.name) as part:
                     while block := part.read(1 << 22):
                         f.write(block)
             f.write(b"\0" * (data & 1))
-        os.replace(f"{self.path}.tmp", self.path)
+        files.move(f"{self.path}.tmp", self.path)
         self.abort(messages)
 
     def abort(self, messages: list[_Part]) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.name):
-                os.remove(m.name)
+            if m is not None:
+                files.remove(m.name)
 
 
 class PcmWav(DataSource):
-    """Options: path; for reading split (frames of a partition), for writing channels, rate, bits."""
+    """Options: path; for reading split (frames of a partition), for writing channels, rate, bits, float (x are bit patterns)."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,5 +203,5 @@ class PcmWav(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options)
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options)
