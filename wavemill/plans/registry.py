@@ -96,8 +96,35 @@ def _by_order(group: str, names: str) -> str:
     return f"{_WINDOW}, sums AS (SELECT {group}, {_SUMS} FROM lagged GROUP BY ALL), cost AS (SELECT {names}, {_STACK} FROM sums)"
 
 
+#: Expected bits of a frame of n codes that sum to s: its header and the best Rice parameter by the mean.
+_FRAME = f"CAST(80 + ({_part_bits('s', 'n')}) AS BIGINT)"
+
+#: Codes whose size changes every 2048 places, so that covers differ.
+_UNEVEN = "(SELECT t, z >> CAST((t div 2048) % 5 * 3 AS INT) AS z FROM {zig1}) AS u"
+
+
+def _cover() -> str:
+    """Frame lengths 1024 to 16384: each level's sums and best costs come from the one below, one aggregate a level; a leaf's frame is the highest node above it that isn't split."""
+    text = f"WITH l0 AS (SELECT j, s, n, {_FRAME} AS best FROM (SELECT t div 1024 AS j, CAST(sum(z) AS BIGINT) AS s, count(*) AS n FROM {_UNEVEN} GROUP BY t div 1024) AS a)"
+    for k in range(1, 5):
+        text += f", l{k} AS (SELECT j, s, n, {_FRAME} <= parts AS whole, least({_FRAME}, parts) AS best FROM (SELECT j div 2 AS j, CAST(sum(s) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS n, CAST(sum(best) AS BIGINT) AS parts FROM l{k - 1} GROUP BY j div 2) AS a{k})"
+    joins = " ".join(f"JOIN l{k} ON l0.j div {1 << k} = l{k}.j" for k in range(1, 5))
+    return text + " SELECT l0.j AS leaf, CAST(CASE " + " ".join(f"WHEN l{k}.whole THEN {1024 << k}" for k in (4, 3, 2, 1)) + f" ELSE 1024 END AS BIGINT) AS length, l4.best AS cost FROM l0 {joins}"
+
+
+def _cover_by_lists() -> str:
+    """The same from each node's own sum over the samples, and costs of covers as lists from the leaves up."""
+    text = f"WITH own AS (SELECT k, j, {_FRAME} AS own FROM (SELECT k, t // (1024 << k) AS j, sum(z)::BIGINT AS s, count(*) AS n FROM {_UNEVEN} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY ALL)), c0 AS (SELECT j, [own] AS cover, [1024] AS lengths FROM own WHERE k = 0)"
+    for k in range(1, 5):
+        joined = "flatten(list({} ORDER BY c.j))"
+        text += f", c{k} AS (SELECT j, CASE WHEN own <= list_sum(parts) THEN [own] ELSE parts END AS cover, CASE WHEN own <= list_sum(parts) THEN [{1024 << k}] ELSE lengths END AS lengths FROM (SELECT c.j // 2 AS j, {joined.format('cover')} AS parts, {joined.format('lengths')} AS lengths FROM c{k - 1} c GROUP BY 1) JOIN (SELECT j, own FROM own WHERE k = {k}) USING (j))"
+    text += ", placed AS (SELECT j AS top, list_sum(cover)::BIGINT AS cost, lengths, unnest(range(1, len(lengths) + 1)) AS i FROM c4), spans AS (SELECT top, cost, lengths[i] AS length, top * 16384 + coalesce(list_sum(lengths[1 : i - 1]), 0) AS a FROM placed)"
+    return text + " SELECT l.j AS leaf, s.length::BIGINT AS length, s.cost FROM (SELECT j FROM own WHERE k = 0) l JOIN spans s ON l.j * 1024 >= s.a AND l.j * 1024 < s.a + s.length"
+
+
 #: Pairs of texts, Spark's first.
 PAIRS: dict[str, tuple[str, str]] = {
+    "tk3_frame_cover": (_cover(), _cover_by_lists()),
     "wi1_fixed_residual": (_by_order("chunk", "chunk") + " SELECT chunk, CAST(ord AS BIGINT) AS ord, s, n FROM cost WHERE n > 0", _FIXED + " SELECT chunk, CAST(ord AS BIGINT) AS ord, CAST(sum(z) AS BIGINT) AS s, count(*) AS n FROM coded GROUP BY chunk, ord"),
     "wi11_shortlist": (_by_order("chunk, t div 1024 AS block", "chunk, block") + ", r AS (SELECT *, row_number() OVER (PARTITION BY chunk, block ORDER BY s, ord) AS n_ FROM cost WHERE n > 0) SELECT chunk, block, CAST(ord AS BIGINT) AS ord, CAST(n_ AS BIGINT) AS place, s FROM r WHERE n_ <= 3", _FIXED + ", cost AS (SELECT chunk, t div 1024 AS block, ord, CAST(sum(z) AS BIGINT) AS s FROM coded GROUP BY chunk, t div 1024, ord), r AS (SELECT *, row_number() OVER (PARTITION BY chunk, block ORDER BY s, ord) AS n FROM cost) SELECT chunk, block, CAST(ord AS BIGINT) AS ord, CAST(n AS BIGINT) AS place, s FROM r WHERE n <= 3"),
     "tk1_min_plan": (_by_order("chunk, (t % 4096) div 256 AS part", "chunk, part") + f", f AS (SELECT chunk, ord, CAST(3 + 16 * ord + sum({_part_bits('s', 'n')}) AS BIGINT) AS bits FROM cost WHERE n > 0 GROUP BY chunk, ord), raw AS (SELECT chunk, count(*) * 17 AS verbatim, min(x) = max(x) AS same FROM {{sig}} GROUP BY chunk), plans AS (SELECT chunk, 'Fixed' AS plan, CAST(ord AS BIGINT) AS ord, bits FROM f UNION ALL SELECT chunk, plan, 0, bits FROM (SELECT chunk, same, stack(2, 'Verbatim', verbatim, 'Constant', CAST(17 AS BIGINT)) AS (plan, bits) FROM raw) WHERE plan = 'Verbatim' OR same), best AS (SELECT chunk, min(struct(bits, plan, ord)) AS b FROM plans GROUP BY chunk) SELECT chunk, b.plan AS plan, b.ord AS ord, b.bits AS bits FROM best", _FIXED + f", p AS (SELECT chunk, ord, (t % 4096) div 256 AS part, CAST(sum(z) AS BIGINT) AS s, count(*) AS n FROM coded GROUP BY chunk, ord, (t % 4096) div 256), f AS (SELECT chunk, ord, CAST(3 + 16 * ord + sum({_part_bits('s', 'n')}) AS BIGINT) AS bits FROM p GROUP BY chunk, ord), raw AS (SELECT chunk, count(*) * 17 AS verbatim, min(x) = max(x) AS same FROM {{sig}} GROUP BY chunk), every AS (SELECT chunk, 'Fixed' AS plan, CAST(ord AS BIGINT) AS ord, bits FROM f UNION ALL SELECT chunk, 'Verbatim', 0, verbatim FROM raw UNION ALL SELECT chunk, 'Constant', 0, 17 FROM raw WHERE same), ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY bits, plan, ord) AS n FROM every) SELECT chunk, plan, ord, bits FROM ranked WHERE n = 1".replace(", every AS (SELECT chunk, 'Fixed'", ", plans AS (SELECT chunk, 'Fixed'").replace("AS n FROM every) SELECT chunk, plan", "AS n FROM plans) SELECT chunk, plan")),
