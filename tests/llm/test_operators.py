@@ -507,3 +507,27 @@ def test_licences_with_ties_and_without_ids(spark):
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), ("doc_id",)).collect()
     assert len(got) == 5
     assert {(r["doc_id"], r["path"], r["licence"], r["via"]) for r in got} == {(1, "a/LICENSE", "MIT", "own"), (2, "a/COPYING", "MIT", "own"), (None, "a/x", "MIT", "a/COPYING"), (3, "a/b/y", "MIT", "a/COPYING"), (None, None, None, None)}
+
+
+def test_licence_query_inherits_from_documents_that_are_licences(spark, tmp_path):
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    prose = "we went down to the old harbour that morning and nobody there had seen a boat for days "
+    rows = [
+        (1, licences_of("MIT"), "en", "s1"), (2, "words", "en", "s1"), (3, "words", "fr", "s1"), (4, notice, "en", "s2"), (5, None, "en", "s2"), (6, prose + notice, "en", "s3"), (7, "words", "en", "s3"),
+        (8, licences_of("BSD-2-Clause"), "en", None), (9, "words", "en", None), (10, "All rights reserved.", None, "s4"), (11, "words", None, "s4"), (12, "words", "en", "s4"), (None, "words", "en", "s2"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["licence"], r["via"]) for r in licences.op3_licences(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, "MIT", "own"), (2, "MIT", "s1/en/1"), (3, None, None), (4, "GPL-3.0", "own"), (5, "GPL-3.0", "s2/en/4"), (6, "GPL-3.0", "own"), (7, None, None),
+        (8, "BSD-2-Clause", "own"), (9, None, None), (10, "Proprietary", "own"), (11, "Proprietary", "s4/none/10"), (12, None, None), (None, "GPL-3.0", "s2/en/4"),
+    ], key=str)
+
+
+def test_licences_alone_in_a_text():
+    total, df = 100, {t: 3 + i % 20 for i, t in enumerate(sorted(licences.VOCABULARY))}
+    matcher = licences.Matcher(total, df)
+    assert all(matcher.alone(x, name) for name, texts in licences.TEMPLATES.items() for x in texts)
+    assert all(matcher.alone(x, name) for name, x in licences.FULL.items())
+    agpl = licences_of("GPL-3.0").replace("GNU General", "GNU Affero General")
+    assert not matcher.alone("MIT License " + "word " * 50, "MIT") and not matcher.alone("MIT License", "GPL-3.0") and not matcher.alone(agpl, "GPL-3.0")

@@ -174,13 +174,23 @@ class Matcher:
             top = max(top, (score, size, name, -int(np.searchsorted(ends, at, side="right"))))
         return (top[2], top[0], -top[3]) if top[0] >= LEAST else (None, 0.0, None)
 
+    def alone(self, text: str, name: str) -> bool:
+        """Whether a text as a whole, every word of it counted, is that licence or one of its notices."""
+        every = terms(text)
+        notices, whole = self.reachable(set(every))
+        score, full = self.whole(every, whole)
+        own = [k for k in notices if self.templates[k][0] == name]
+        return score >= LEAST and full == name or bool(own) and self.best(text, own)[0] >= LEAST
+
 
-def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(files: DataFrame, keep: tuple[str, ...] = (), by_text: bool = False) -> DataFrame:
     """(*keep, path, own, cosine, line, licence, via): licences of files (*keep, path, text).
 
     own is the licence whose whole text the file is, else that which its text states anywhere, by the best cosine of 0.8 or more. A file that states one
     has it as its licence (via 'own'); any other inherits that of the licence file in the nearest directory above (via
     that file's path); else none. A directory with several licence files takes the one of highest cosine, then first path.
+    Licence files are told by their names; with by_text, where names say nothing, also by their texts: those that as a
+    whole are a licence or a notice (Matcher.alone). A notice at the end of a longer text is that text's alone.
 
     Defined cases: null or empty text states nothing; a null path inherits nothing; equal paths give equal rows apart
     from their texts; a text of any length is scanned whole; an empty table gives no rows; columns not in keep are
@@ -193,16 +203,20 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(*weights.value)
         for b in batches:
-            got = [own.scan(t) for t in b.column(len(keep) + 1).to_pylist()]
-            cols = list(zip(*got, strict=True)) or [()] * 3
-            kinds = (pa.string(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, "path", "own", "cosine", "line"])
+            got = []
+            for t in b.column(len(keep) + 1).to_pylist():
+                name, cosine, line = own.scan(t)
+                got.append((name, cosine, line, by_text and name is not None and own.alone(t, name)))
+            cols = list(zip(*got, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.float64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keep, "path", "own", "cosine", "line", "_alone"])
 
     rows = files.select(*keep, F.col("path").cast("string").alias("path"), "text")
-    shape = T.StructType([*rows.schema.fields[:-1], *fields("own string, cosine double, line int").fields])
+    shape = T.StructType([*rows.schema.fields[:-1], *fields("own string, cosine double, line int, _alone boolean").fields])
     found = materialize(rows.mapInArrow(task, shape), "licences")
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-    above = found.where(F.col("own").isNotNull() & F.col("path").rlike(_FILE.pattern.replace("(?:^|/)", "(?i)(?:^|/)", 1)))
+    named = F.col("path").rlike(_FILE.pattern.replace("(?:^|/)", "(?i)(?:^|/)", 1))
+    above = found.where(F.col("own").isNotNull() & (named | (F.col("_alone") & F.col("path").isNotNull())))
     above = above.groupBy(folder.alias("dir")).agg(F.min(F.struct(-F.col("cosine"), "path", "own")).alias("x")).select("dir", F.col("x.path").alias("from"), F.col("x.own").alias("held"))
     number = above.count()
     parts = F.split(folder, "/")
@@ -216,7 +230,8 @@ def scan(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def op3_licences(spark, sf_dir):
+    """Documents as files source/language/id. Their names tell no licence file, so texts do; what has no source has no path, as unknown sources aren't one folder."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
-    out = scan(docs.select("doc_id", path.alias("path"), "text"), ("doc_id",))
+    path = F.concat("source", F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    out = scan(docs.select("doc_id", path.alias("path"), "text"), ("doc_id",), by_text=True)
     return out.select("doc_id", "path", "licence", "cosine", "line", "via")
