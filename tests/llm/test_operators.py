@@ -310,6 +310,25 @@ def test_pieces_are_the_librarys_on_every_document(spark):
     assert max(len(r["crcs"]) for r in got) == pieces.BEST
 
 
+def test_only_words_of_least_bounds_are_weighed(spark, monkeypatch):
+    m = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r["text"]]
+    texts += ["the in the of", "日本 the\n語 in é", "a", "   x", "\n\n ▁", "the " * 50]
+    plain, calls = m.loss, []
+    monkeypatch.setattr(m, "loss", lambda chunk, ids: calls.append(chunk) or plain(chunk, ids))
+    known = {}
+    for t in texts:
+        words = pieces._CHUNK.findall("▁" + t.replace(" ", "▁"))
+        for c in words:
+            if c not in known:
+                known[c] = plain(c, m.own(c))
+                ids = np.array(m.own(c))
+                assert m.bounds(ids).min() <= known[c] or known[c] > m.bound
+        want = sorted(sorted([x for x in range(len(words)) if known[words[x]] < np.inf], key=lambda x: (known[words[x]], x))[:3])
+        assert [w for _, _, w in m.least("▁" + t.replace(" ", "▁"), np.array(m.sp.encode(t)), 3)] == [words[x] for x in want]
+    assert len(calls) < 0.15 * len(known)
+
+
 def test_one_very_long_word():
     m = pieces.model(public_tokenizers.path("piece_bpe_32k.model"))
     text = "abcdefgh" * 20_000

@@ -9,8 +9,7 @@ import math
 import operator
 import re
 import zlib
-from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -26,7 +25,7 @@ SPACE = "▁"
 BEST = 4
 #: Words whose losses a worker keeps, and words whose lists of segmentations it keeps.
 CACHE, LISTS = 500_000, 30_000
-#: Rank sum up to which departures from a word's best segmentation are found by look-up.
+#: Rank sum up to which two pieces in place of a word's own are found by look-up.
 USUAL = 36
 #: Cost of a character without a piece, in a departure from the model's own segmentation; it is written as its bytes.
 UNKNOWN = 2.0
@@ -75,15 +74,62 @@ class Pieces:
         self.longest = max(map(len, self.score), default=1)
         self.single = {p for p in self.score if len(p) == 1}
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.score)
-        self.usual = {a + b for (a, x), (b, y) in itertools.product(list(rank_of.items())[: USUAL + 1], repeat=2) if x + y <= USUAL} if path else set()
         self.bound = 2 + (USUAL + 0.5) / len(names)
-        # ids of bytes and those that two usual pieces make up; pairs of ids (as one number) that one piece, or two usual ones, make up
-        self.hot = self.byte_ids | {self.id[p] for p in self.usual if p in self.id}
-        self.pairs = {self.id[p[:k]] * len(names) + self.id[p[k:]] for p in (*self.score, *self.usual) for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id} if path else set()
-        self.kept: dict[str, float] = {}  # slight losses
+        if path is not None:
+            self.spans(list(rank_of)[: USUAL + 1])
         self.whole: dict[str, float] = {}  # losses
         self.lists: dict[tuple[str, int], list] = {}
 
+    def spans(self, usual: list[str]) -> None:
+        """Tables of the slight departures (a loss up to `bound`): one piece over several of the library's, or two of the most usual pieces over any.
+
+        Both are strings over whole pieces of the library's, so they are walked piece by piece: a node is the start of
+        such a string, and a node and the next id give the next node, if any.
+        """
+        rank = {p: r for r, p in enumerate(usual)}
+        two: dict[str, float] = {}
+        for (a, x), (b, y) in itertools.product(rank.items(), repeat=2):
+            if x + y <= USUAL:
+                two[a + b] = min(two.get(a + b, _EVER), -(self.score[a] + self.score[b]))
+        self.dense = len({c for p in self.score for c in p} - self.single) == 0
+        node: dict[str, int] = {}
+        step: dict[int, int] = {}
+        size, number = len(self.name), self.id.get
+        for w in (*self.score, *two):
+            at = [node.setdefault(w[:i], len(node)) for i in range(1, len(w) + 1)]
+            for i in range(1, len(w)):
+                for j in range(i + 1, len(w) + 1):
+                    n = number(w[i:j])
+                    if n is not None:
+                        step[at[i - 1] * size + n] = at[j - 1]
+        self.keys = np.array([*sorted(step), np.iinfo(np.int64).max])
+        self.next = np.array([*(step[k] for k in self.keys[:-1].tolist()), -1])
+        self.cost = np.full(len(node), _EVER)  # of a string over several pieces, by node
+        for costs in (two, {p: -s for p, s in self.score.items()}):
+            self.cost[[node[w] for w in costs]] = list(costs.values())
+        self.start, self.split = np.full(size, -1), np.full(size, _EVER)  # by id: its node, and what two usual pieces for it cost
+        self.opens, self.blank = np.zeros(size, bool), np.zeros(size, bool)
+        for p, i in self.id.items():
+            self.start[i], self.split[i] = node[p], two.get(p, _EVER)
+            self.opens[i], self.blank[i] = p.startswith(SPACE), not p.strip(SPACE)
+        self.sizes = np.array(self.size)
+
+    def bounds(self, ids: np.ndarray) -> np.ndarray:
+        """For each id, the least loss of a slight departure that starts with it, or less; infinity without one."""
+        out, at, k = self.split[ids], np.arange(len(ids)), 0
+        node = self.start[ids]
+        while True:
+            k += 1
+            more = at < len(ids) - k
+            at, node = at[more], node[more]
+            if not len(at):
+                return out
+            key = node * len(self.name) + ids[at + k]
+            place = np.searchsorted(self.keys, key)
+            hit = self.keys[place] == key
+            at, node = at[hit], self.next[place[hit]]
+            out[at] = np.minimum(out[at], self.cost[node])
+
     def own(self, chunk: str) -> list[int]:
         """Ids of the library's segmentation of a chunk; none without a library."""
         if self.sp is None:
@@ -176,24 +222,6 @@ class Pieces:
         on = self.starts(chunk, ids)
         return min([g for g, i in zip(self.forward(chunk, on)[2], on, strict=True) if i >= 0])
 
-    def slight(self, chunk: str, ids: Sequence[int]) -> float:
-        """The loss of a word if it is at most `bound`, else infinity.
-
-        Such a departure is one arc over several of the library's, or two of the most usual pieces: between two places of
-        the library's path, either is a look-up. Only words that have one are searched.
-        """
-        if self.hot.isdisjoint(ids):
-            n, size = len(ids), len(self.name)
-            if n == 1 or n == 2 and ids[0] * size + ids[1] not in self.pairs:
-                return _EVER
-            if n > 2 and self.pairs.isdisjoint([a * size + b for a, b in itertools.pairwise(ids)]):
-                ends = [0, *itertools.accumulate([self.size[i] for i in ids])]
-                parts = [chunk[a:b] for i, a in enumerate(ends) for b in ends[i + 3 : i + 1 + self.longest]]
-                if self.score.keys().isdisjoint(parts) and self.usual.isdisjoint(parts):
-                    return _EVER
-        loss = self.loss(chunk, ids)
-        return loss if loss <= self.bound else _EVER
-
     def scored(self, chunk: str) -> tuple[float, tuple[int, ...], float]:
         """(score, ids, loss of the next) of the best segmentation of one word by bare scores."""
         ahead, start, gap = self.forward(chunk, [-1] * (len(chunk) + 1))
@@ -204,16 +232,46 @@ class Pieces:
             at = start[at]
         return ahead[-1], self.ids(chunk, cuts[::-1]), loss
 
-    def losses(self, chunks: list[str], ends: list[int], ids: list[int], after: list[int], kept: dict[str, float], of: Callable[[str, Sequence[int]], float]) -> list[float]:
-        """of(word, its ids) of every word of a text; kept where there is room. ends: the place after each word; after: that after each id."""
-        out, k = list(map(kept.get, chunks)), -1
-        for _ in range(out.count(None)):
-            k = out.index(None, k + 1)
-            c, end = chunks[k], ends[k]
-            out[k] = got = of(c, ids[bisect_right(after, end - len(c)) : bisect_right(after, end)])
-            if len(kept) < CACHE:
-                kept[c] = got
-        return out
+    def least(self, whole: str, ids: np.ndarray, most: int) -> list[tuple[int, int, str]]:
+        """(first id, end, word) of up to `most` words with the least losses, of equal ones the first, in order of place.
+
+        A word's loss is not below its bound, so words are weighed by rising bounds until no other can be among the least.
+        """
+        after = np.cumsum(self.sizes[ids])
+        if after[-1] != len(whole):
+            raise ValueError("the model normalises text; its pieces are not parts of it")
+        opens = self.opens[ids]
+        opens[1:] &= ~self.blank[ids[:-1]]
+        firsts = np.flatnonzero(opens) if self.by_word else np.zeros(1, np.int64)
+        ends = np.append(firsts[1:], len(ids))
+
+        def word(k: int) -> tuple[int, int, str]:
+            a, b = int(firsts[k]), int(ends[k])
+            return a, b, whole[int(after[a - 1]) if a else 0 : int(after[b - 1])]
+
+        def weigh(k: int) -> float:
+            a, b, chunk = word(k)
+            got = self.whole.get(chunk)
+            if got is None:
+                got = self.loss(chunk, ids[a:b].tolist())
+                if len(self.whole) < CACHE and len(chunk) < 100:
+                    self.whole[chunk] = got
+            return got
+
+        bound = np.minimum.reduceat(self.bounds(ids), firsts)
+        if not self.dense:  # a piece may hold characters that are written as bytes
+            bound[np.logical_or.reduceat(self.start[ids] < 0, firsts)] = 0.0
+        found: list[tuple[float, int]] = []
+        slight = np.flatnonzero(bound <= self.bound)
+        for k in slight[np.argsort(bound[slight], kind="stable")].tolist():
+            if len(found) == most and (bound[k], k) > found[-1]:
+                break
+            loss = weigh(k)
+            if loss <= self.bound:
+                found = sorted([*found, (loss, k)])[:most]
+        if len(found) < most:  # too few slight departures: all are weighed
+            found = heapq.nsmallest(most, [x for x in zip(map(weigh, range(len(firsts))), range(len(firsts)), strict=True) if x[0] < _EVER])
+        return [word(k) for k in sorted([k for _, k in found])]
 
     def options(self, chunk: str, most: int) -> list[tuple[float, tuple[int, ...]]]:
         got = self.lists.get((chunk, most))
@@ -224,33 +282,26 @@ class Pieces:
         return got
 
     def encode(self, text: str, most: int = BEST) -> list[tuple[float, list[int]]]:
+        """Up to `most` segmentations of a text, best first, as lists of ids; see `segment`."""
+        return [(s, ids.tolist()) for s, ids in self.segment(text, most)]
+
+    def segment(self, text: str, most: int = BEST) -> list[tuple[float, np.ndarray]]:
         """Up to `most` segmentations of a text, best first. No piece of the model crosses the start of a word, so a text's lattice is its words' end to end, and its best sums are found over the words' own lists: only the words with the least losses can differ from their best in them. Empty text has one empty segmentation."""
         if not text:
-            return [(0.0, [])]
+            return [(0.0, np.zeros(0, np.int32))]
         whole = SPACE + text.replace(" ", SPACE)
-        chunks = _CHUNK.findall(whole) if self.by_word else [whole]
         if self.sp is None:
+            chunks = _CHUNK.findall(whole) if self.by_word else [whole]
             words = [self.scored(c) for c in chunks]
-            base, first, loss = sum([w[0] for w in words]), list(itertools.chain.from_iterable([w[1] for w in words])), [w[2] for w in words]
-        else:
-            base, first = 0.0, self.sp.encode(text)
-            ends, after = list(itertools.accumulate(map(len, chunks))), list(itertools.accumulate(map(self.size.__getitem__, first)))
-            loss = self.losses(chunks, ends, first, after, self.kept, self.slight) if most > 1 else []
-            if len(loss) - loss.count(_EVER) < most - 1:  # too few slight departures: all are weighed
-                loss = self.losses(chunks, ends, first, after, self.whole, self.loss)
-        out = [(base, first)]
-        if most == 1:
-            return out
-        places = []
-        while len(places) < most - 1 and (least := min(loss)) < _EVER:
-            places.append(loss.index(least))
-            loss[places[-1]] = _EVER
-        places.sort()
-        if self.sp is None:
+            base, first = sum([w[0] for w in words]), np.array(list(itertools.chain.from_iterable([w[1] for w in words])), np.int32)
+            least = sorted([k for _, k in heapq.nsmallest(most - 1, [(w[2], k) for k, w in enumerate(words) if w[2] < _EVER])])
             starts = [0, *itertools.accumulate([len(w[1]) for w in words])]
+            places = [(starts[k], starts[k + 1], chunks[k]) for k in least]
         else:
-            starts = {k + d: bisect_right(after, ends[k] - (0 if d else len(chunks[k]))) for k in places for d in (0, 1)}
-        options = [self.options(chunks[k], most) for k in places]
+            base, first = 0.0, np.array(self.sp.encode(text), np.int32)
+            places = self.least(whole, first, most - 1) if most > 1 else []
+        out = [(base, first)]
+        options = [self.options(chunk, most) for _, _, chunk in places]
         queue, seen = [(0.0, (0,) * len(places))], set()
         while queue and len(out) < most:
             lost, pick = heapq.heappop(queue)
@@ -259,11 +310,11 @@ class Pieces:
             seen.add(pick)
             if any(pick):
                 ids, at = [], 0
-                for k, own, x in zip(places, options, pick, strict=True):
+                for (start, end, _), own, x in zip(places, options, pick, strict=True):
                     if x:
-                        ids += [first[at : starts[k]], own[x][1]]
-                        at = starts[k + 1]
-                out.append((base - lost, list(itertools.chain(*ids, first[at:]))))
+                        ids += [first[at:start], np.array(own[x][1], np.int32)]
+                        at = end
+                out.append((base - lost, np.concatenate([*ids, first[at:]])))
             for x, own in enumerate(options):
                 if pick[x] + 1 < len(own):
                     step = own[pick[x]][0] - own[pick[x] + 1][0]
@@ -276,7 +327,7 @@ class Pieces:
             text = "".join(self.name[i] if i < len(self.name) else "\ufffd" for i in ids)
         else:
             raw = self._raw
-            text = b"".join(raw[i] for i in ids).decode("utf-8", "replace")
+            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
         text = text.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
@@ -310,7 +361,7 @@ def encode(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for b in batches:
-            got = [own.encode(t or "", most) for t in b.column(1).to_pylist()]
+            got = [own.segment(t or "", most) for t in b.column(1).to_pylist()]
             gc.freeze()  # kept words have no cycles: the collector needn't walk them again
             ids = pa.list_(pa.int32())
             cols = (pa.array([g[0][1] for g in got], ids), pa.array([[s for s, _ in g] for g in got], pa.list_(pa.float64())), pa.array([[x for _, x in g[1:]] for g in got], pa.list_(ids)))
@@ -332,9 +383,9 @@ def digest(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
             out = []
             gc.freeze()  # kept words have no cycles: the collector needn't walk them again
             for t in b.column(1).to_pylist():
-                got = own.encode(t or "", most)
-                back = own.decode(got[0][1])
-                crcs = [zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()) for _, ids in got]
+                got = own.segment(t or "", most)
+                back = own.decode(got[0][1].tolist())
+                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in got]
                 out.append((len(got[0][1]), crcs[0], [s for s, _ in got], crcs, zlib.crc32(back.encode("utf-8")), back == (t or "")))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
             cols = list(zip(*out, strict=True)) or [()] * 6
