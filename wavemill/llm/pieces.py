@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import heapq
 import itertools
@@ -104,6 +105,8 @@ class Pieces:
                         step[at[i - 1] * size + n] = at[j - 1]
         self.keys = np.array([*sorted(step), np.iinfo(np.int64).max])
         self.next = np.array([*(step[k] for k in self.keys[:-1].tolist()), -1])
+        self.seen = np.zeros(1 << 22, bool)  # by a hash of the key, so that most keys without a step need no search
+        self.seen[self.hashed(self.keys)] = True
         self.cost = np.full(len(node), _EVER)  # of a string over several pieces, by node
         for costs in (two, {p: -s for p, s in self.score.items()}):
             self.cost[[node[w] for w in costs]] = list(costs.values())
@@ -114,6 +117,10 @@ class Pieces:
             self.opens[i], self.blank[i] = p.startswith(SPACE), not p.strip(SPACE)
         self.sizes = np.array(self.size)
 
+    @staticmethod
+    def hashed(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
     def bounds(self, ids: np.ndarray) -> np.ndarray:
         """For each id, the least loss of a slight departure that starts with it, or less; infinity without one."""
         out, at, k = self.split[ids], np.arange(len(ids)), 0
@@ -125,6 +132,8 @@ class Pieces:
             if not len(at):
                 return out
             key = node * len(self.name) + ids[at + k]
+            likely = np.flatnonzero(self.seen[self.hashed(key)])
+            at, key = at[likely], key[likely]
             place = np.searchsorted(self.keys, key)
             hit = self.keys[place] == key
             at, node = at[hit], self.next[place[hit]]
@@ -326,17 +335,21 @@ class Pieces:
         if not self.byte:
             text = "".join(self.name[i] if i < len(self.name) else "\ufffd" for i in ids)
         else:
-            raw = self._raw
-            text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
+            first, length, flat = self._raw
+            ids = np.asarray(ids, np.int64)
+            size = length[ids]
+            after = np.cumsum(size)
+            text = flat[np.repeat(first[ids] - after + size, size) + np.arange(after[-1] if len(ids) else 0)].tobytes().decode("utf-8", "replace")
         text = text.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
-    @property
-    def _raw(self) -> list[bytes]:
-        if not hasattr(self, "_bytes"):
-            value = {i: bytes([b]) for b, i in self.byte.items()}
-            self._bytes = [value.get(i, p.encode("utf-8")) for i, p in enumerate(self.name)]
-        return self._bytes
+    @functools.cached_property
+    def _raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each id's bytes start, how many they are, and the bytes of all ids."""
+        value = {i: bytes([b]) for b, i in self.byte.items()}
+        parts = [value.get(i, p.encode("utf-8")) for i, p in enumerate(self.name)]
+        length = np.array(list(map(len, parts)))
+        return np.cumsum(length) - length, length, np.frombuffer(b"".join(parts), np.uint8)
 
 
 _models: dict[str, Pieces] = {}
@@ -384,7 +397,7 @@ def digest(docs: DataFrame, path: str, most: int = BEST) -> DataFrame:
             gc.freeze()  # kept words have no cycles: the collector needn't walk them again
             for t in b.column(1).to_pylist():
                 got = own.segment(t or "", most)
-                back = own.decode(got[0][1].tolist())
+                back = own.decode(got[0][1])
                 crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in got]
                 out.append((len(got[0][1]), crcs[0], [s for s, _ in got], crcs, zlib.crc32(back.encode("utf-8")), back == (t or "")))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
