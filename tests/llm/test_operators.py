@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import jaccard, language, licences, lines, media, mix, neighbours, pieces, quality, tokenfile
+from wavemill.llm import common, jaccard, language, licences, lines, media, mix, neighbours, pieces, quality, tokenfile
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, line int, node long"
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
@@ -550,3 +550,19 @@ def test_licences_alone_in_a_text():
     assert all(matcher.alone(x, name) for name, x in licences.FULL.items())
     agpl = licences_of("GPL-3.0").replace("GNU General", "GNU Affero General")
     assert not matcher.alone("MIT License " + "word " * 50, "MIT") and not matcher.alone("MIT License", "GPL-3.0") and not matcher.alone(agpl, "GPL-3.0")
+
+
+def test_materialize_relieves_the_driver_when_due(spark, monkeypatch):
+    """Plans leave garbage in the driver: written tables end with a full collection, but no more often than RELIEF_S allows."""
+    jvm = spark.sparkContext._jvm
+    monkeypatch.setattr(common, "RELIEF_SHARE", 1.0)
+
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    common._relief_due[0], before = 0.0, full()
+    assert common.materialize(spark.range(3), "relief").count() == 3
+    assert full() > before
+    assert not common.relieve(spark)  # not due again
+    common._relief_due[0] = 0.0
+    assert common.relieve(spark)
